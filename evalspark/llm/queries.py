@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import encode, mixing, splits
+from evalspark.llm import encode, mixing, overlap, splits
 from evalspark.plans.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlaps(table(spark, sf_dir, "eval_steps"), table(spark, sf_dir, "train_states"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps counted by split and source of the eval step."""
+    return overlap.overlap_report(table(spark, sf_dir, "eval_steps"), table(spark, sf_dir, "train_states"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir).select("task_no", "group_no")
 
@@ -42,7 +51,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares, "p6_ids": p6_ids, "p6_round_trips": p6_round_trips, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares, "p6_ids": p6_ids, "p6_round_trips": p6_round_trips, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 _NUMBER = "CASE WHEN regexp_full_match(trim({0}), '[0-9]{{1,18}}') THEN CAST(trim({0}) AS BIGINT) END"
 
