@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import encode, mixing, overlap, splits
+from evalspark.llm import encode, mixing, overlap, residue, splits
 from evalspark.plans.tables import table
 
 
@@ -51,7 +51,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares, "p6_ids": p6_ids, "p6_round_trips": p6_round_trips, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without residue."""
+    return residue.without_residue(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_chars")
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_splits": p3_splits, "p3_shares": p3_shares, "p6_ids": p6_ids, "p6_round_trips": p6_round_trips, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_kept": p8_kept}
 
 _NUMBER = "CASE WHEN regexp_full_match(trim({0}), '[0-9]{{1,18}}') THEN CAST(trim({0}) AS BIGINT) END"
 
