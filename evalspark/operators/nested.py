@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.shared import spread
+
 CHILDREN = "root_table string, root_id bigint, child string, path string"
 _CHILDREN_ARROW = pa.schema([("root_table", pa.string()), ("root_id", pa.int64()), ("child", pa.string()), ("path", pa.string())])
 _BLANK = np.zeros(256, bool)
@@ -269,7 +271,7 @@ def report_rows(reports: DataFrame) -> DataFrame:
             rows = report_children(batch.column("report_kind").to_pylist(), batch.column("body").to_pylist())
             yield _batch([("report_files", ids[row], child, path) for row, child, path in rows])
 
-    return reports.select("report_id", "report_kind", "body").where("body is not null").mapInArrow(convert, CHILDREN)
+    return spread(reports.select("report_id", "report_kind", "body").where("body is not null")).mapInArrow(convert, CHILDREN)
 
 
 def _batch(rows: list[tuple[str, int, str, str]]) -> pa.RecordBatch:
@@ -279,7 +281,7 @@ def _batch(rows: list[tuple[str, int, str, str]]) -> pa.RecordBatch:
 
 def message_parts(episodes: DataFrame) -> DataFrame:
     """(root_id, child, path, arguments): a row for each message and each tool call that isn't null."""
-    messages = episodes.select(F.col("episode_id").alias("root_id"), F.posexplode("messages").alias("i", "m")).where("m is not null")
+    messages = spread(episodes.select(F.col("episode_id").alias("root_id"), "messages")).select("root_id", F.posexplode("messages").alias("i", "m")).where("m is not null")
     at = F.col("i").cast("string")
     none = F.lit(None).cast("string")
     message = F.array(F.struct(F.lit("message").alias("child"), at.alias("path"), none.alias("arguments")))

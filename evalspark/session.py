@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +33,19 @@ def build_session(app: str = "evalspark", cores: int | str | None = None, **conf
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session; a cluster's machines needn't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_evalspark_shipped", False):
+        return
+    context._evalspark_shipped = True
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="evalspark-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "evalspark-package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, Path("evalspark") / file.relative_to(package))
+    context.addPyFile(path)
