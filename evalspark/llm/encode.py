@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from evalspark.shared import spread
+
 VOCABULARIES = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
 # One call to the library holds about this many characters, so that a batch of long texts stays small in memory.
@@ -96,7 +98,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str =
             flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))], [key, "ids"])
 
-    return df.select(key, text).mapInArrow(convert, f"{key} bigint, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(convert, f"{key} bigint, ids array<int>")
 
 
 def count_tokens(df: DataFrame, keep: str, text: str = "text", folder: str = VOCABULARIES, name: str = NAME) -> DataFrame:
@@ -111,7 +113,7 @@ def count_tokens(df: DataFrame, keep: str, text: str = "text", folder: str = VOC
                 sizes[rows] = len(found) if found is not None else 0
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sizes)], [*columns, "n_tokens"])
 
-    return df.select(*columns, text).mapInArrow(convert, schema)
+    return spread(df.select(*columns, text)).mapInArrow(convert, schema)
 
 
 def decode_ids(ids: list[int], folder: str = VOCABULARIES, name: str = NAME) -> str:
@@ -162,4 +164,4 @@ def round_trips(df: DataFrame, key: str = "doc_id", text: str = "text", folder:
             types = (pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [key, "n_tokens", "n_split", "exact"])
 
-    return df.select(key, text).mapInArrow(convert, f"{key} bigint, n_tokens bigint, n_split bigint, exact boolean")
+    return spread(df.select(key, text)).mapInArrow(convert, f"{key} bigint, n_tokens bigint, n_split bigint, exact boolean")

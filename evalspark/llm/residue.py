@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.shared import written
+from evalspark.shared import spread, written
 
 SLOT_RECORDS = 5  # records from which a constant mark counts as part of its template
 PAGE_DOCS = 5
@@ -285,7 +285,7 @@ def evidence(documents: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(_EVIDENCE_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _EVIDENCE_ARROW, strict=True)], schema=_EVIDENCE_ARROW)
 
-    return documents.select("doc_id", "text").where("text is not null and text <> ''").mapInArrow(convert, EVIDENCE)
+    return spread(documents.select("doc_id", "text").where("text is not null and text <> ''")).mapInArrow(convert, EVIDENCE)
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
