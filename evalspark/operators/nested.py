@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ class Nodes:
     key_end: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    known: dict = field(default_factory=dict)
 
     def text(self, node: int) -> str:
         return self.data[self.start[node] : self.end[node]].tobytes().decode("utf-8", "replace")
@@ -48,13 +49,19 @@ class Nodes:
 
     def first(self) -> np.ndarray:
         """The first byte of each value: { [ " t f n or a number's."""
-        return self.data[self.start]
+        if "first" not in self.known:
+            self.known["first"] = self.data[self.start]
+        return self.known["first"]
 
     def is_null(self) -> np.ndarray:
-        return self.first() == ord("n")
+        if "null" not in self.known:
+            self.known["null"] = self.first() == ord("n")
+        return self.known["null"]
 
     def has_key(self, name: str) -> np.ndarray:
         """Which nodes have this key (spelled without escapes)."""
+        if ("key", name) in self.known:
+            return self.known["key", name]
         want = np.frombuffer(name.encode(), np.uint8)
         found = self.key_end - self.key_start == len(want)
         at = np.flatnonzero(found & (self.key_start >= 0))
@@ -63,6 +70,7 @@ class Nodes:
             same &= self.data[self.key_start[at] + i] == byte
         found[:] = False
         found[at[same]] = True
+        self.known["key", name] = found
         return found
 
     def below(self, parents: np.ndarray) -> np.ndarray:
@@ -255,11 +263,11 @@ def report_children(kinds: list[str | None], texts: list[str | None]) -> list[tu
 
 
 def _children(nodes: Nodes, node: int) -> np.ndarray:
-    if not hasattr(nodes, "_by_parent"):
-        nodes._by_parent = np.argsort(nodes.parent, kind="stable")
-        nodes._sorted_parent = nodes.parent[nodes._by_parent]
-    low, high = np.searchsorted(nodes._sorted_parent, [node, node + 1])
-    return nodes._by_parent[low:high]
+    if "by parent" not in nodes.known:
+        nodes.known["by parent"] = np.argsort(nodes.parent, kind="stable")
+        nodes.known["parents"] = nodes.parent[nodes.known["by parent"]]
+    low, high = np.searchsorted(nodes.known["parents"], [node, node + 1])
+    return nodes.known["by parent"][low:high]
 
 
 def report_rows(reports: DataFrame) -> DataFrame:
