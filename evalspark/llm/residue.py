@@ -127,6 +127,26 @@ def _any(text: str) -> re.Pattern:
 _PHRASES, _FILLER = _any(PHRASES), _any(FILLER)
 
 
+def _cores(pattern: str) -> set[str]:
+    """Texts of which any match of a fixed phrase holds one: the longest outside of groups, else one of each alternative."""
+    literal = re.compile(r"[^\\.?(){}|^$*+\[\]\d_]{2,}")
+    longest = lambda text: max((t.strip() for t in literal.findall(text)), key=len, default="")
+    pattern = re.sub(r"\(\?:[^()]*\)\?", "|", pattern)
+    outside = longest(re.sub(r"\(\?:[^()]*\)|\\.|\.\{[^}]*\}", "|", pattern))
+    if len(outside) > 2:
+        return {outside}
+    groups = [{longest(a) for a in group.split("|")} for group in re.findall(r"\(\?:([^()]*)\)", pattern)]
+    return max(groups, key=lambda g: min(map(len, g)))
+
+
+_CORES = sorted(_TITLES | {c for text in (PHRASES, FILLER) for line in text.strip().splitlines() for p in line.split(" | ") for c in _cores(p.strip())} | {"loading", "geladen", "cargando", "chargement", "carregar", "carregando", "загрузка", "読み込み中", "लोड"}, key=len)
+
+
+def may_hold_pages(folded: str) -> bool:
+    """Whether a text in lower case holds a phrase without which no segment of it is certain; most texts don't."""
+    return any(c in folded for c in _CORES)
+
+
 def plain_text(text: str) -> str:
     """Entities, wide forms and the many blanks of Unicode in their plain form; line ends stay."""
     if "&" in text:
@@ -181,8 +201,13 @@ def _messages(line: str) -> list[str]:
     return texts
 
 
+_TRIGGER = re.compile(r"[{\[<$%]|@@|__|\*\||undefined|TODO|TBD|FIXME|XXX", re.I)
+
+
 def marks(segment: str) -> list[tuple[int, int]]:
     """Spans of the marks. Capitals-only notations count in capitals; where all is in capitals they count too."""
+    if not _TRIGGER.search(segment):
+        return []
     found = [m.span() for m in _CASELESS.finditer(segment)]
     for m in _CASED.finditer(segment):
         if not any(a < m.end() and m.start() < b for a, b in found):
@@ -218,13 +243,16 @@ def spoken_of(segment: str, spans: list[tuple[int, int]]) -> bool:
     return quoted or _ABOUT.search(MARK.sub(" ", segment)) is not None
 
 
+_QUOTED = re.compile('["`“”„«»「」]')
+
+
 def page_segment(segment: str) -> bool:
     """Whether the segment certainly is an error title or message, a script notice or filler."""
     text = segment.casefold()
     bare = text.rstrip(" .!…:。！।")
     if _FILLER.search(bare):
         return True
-    if any(q in segment for q in "\"`“”„«»「」"):
+    if _QUOTED.search(segment):
         return False
     if bare in _TITLES or LOADING.match(text):
         return True
@@ -235,9 +263,12 @@ def page_segment(segment: str) -> bool:
     return _PHRASES.search(text) is not None
 
 
+_DIGIT, _SPEAKER = re.compile(r"\d"), re.compile(r"(?:User|Agent|Tool|System)\b")
+
+
 def constant(segment: str) -> bool:
     """Whether nothing in the segment varies: no numbers, identifiers, marks or names after the first word."""
-    if any(c.isdigit() for c in segment) or len(segment.split()) > MAX_WORDS or re.match(r"^(?:User|Agent|Tool|System)\b", segment):
+    if _DIGIT.search(segment) or segment.count(" ") >= MAX_WORDS or _SPEAKER.match(segment):
         return False
     if segment.upper() == segment:
         return True
@@ -268,7 +299,7 @@ def evidence(documents: DataFrame) -> DataFrame:
             rows, plain = [], set()
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 parts = list(dict.fromkeys(segments(text)))
-                pages = {p for p in parts if page_segment(p)}
+                pages = {p for p in parts if page_segment(p)} if may_hold_pages("\n".join(parts).casefold()) else set()
                 if pages or whole_text_residue(text):
                     rows.append((doc, "page", None, None, None, None, None))
                 for part in parts:

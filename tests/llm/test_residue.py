@@ -83,3 +83,11 @@ def test_no_rows_and_extra_columns(spark):
     assert residue.residue_documents(df).count() == 0
     two = spark.createDataFrame([(1, "Loading...", "k", 1), (2, "fine", "k", 1)], SCHEMA)
     assert [tuple(r) for r in residue.without_residue(two).collect()] == [(2, "fine", "k", 1)]
+
+
+def test_texts_without_a_core_hold_no_page_segment():
+    assert residue._cores("^(?:das ist ein )?(?:blindtext|mustertext)") == {"blindtext", "mustertext"}
+    assert residue._cores("page you (?:asked|wanted)") == {"page you"}
+    for text in filter(None, CASES):
+        parts = residue.segments(text)
+        assert residue.may_hold_pages("\n".join(parts).casefold()) or not any(map(residue.page_segment, parts))
