@@ -5,7 +5,8 @@ that no cap forbids, or a smaller one that is asked for. Inside a source each do
 of copies, lambda times its odds weight, at most the source's cap; lambda is solved so that the expected tokens
 are the source's share. The whole part of the expected copies is certain. For the fraction the documents are
 ranked by Pareto order sampling (Rosen 1997): U/(1-U) over p/(1-p) with U uniform from the document's id; they
-are taken in that order until the source's tokens are full.
+are taken in that order until the source's tokens are full; the document that crosses the border is taken if
+more than half of it fits.
 
 The order is never sorted in one task: ranks fall into a fixed number of buckets, the buckets' token sums tell
 which are taken whole, and only the bucket the border falls in is ordered.
@@ -83,8 +84,8 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     """(doc_id, source, n_tokens, copies) of the documents taken, copies from 1 to the source's cap.
 
     Documents without text, of a null source or of a source without a target aren't taken; sources without
-    documents give nothing and their weight is left out. Each source stays below its tokens by less than its
-    next document's. Ties in rank go by doc_id. Empty tables give no rows.
+    documents give nothing and their weight is left out. Each source misses its tokens by at most half of
+    one document's. Ties in rank go by doc_id. Empty tables give no rows.
     """
     spark = sized.sparkSession
     steps = plan(sized, targets, total_tokens)
@@ -109,7 +110,7 @@ def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     marked = dealt.join(F.broadcast(border), ["source", "bucket"], "left")
     straddles = (~F.col("whole")) & (F.col("below") < F.col("left"))
     inside = marked.where(straddles).withColumn("run", F.col("below") + F.sum("n_tokens").over(Window.partitionBy("source").orderBy("rank", "doc_id")))
-    inside = inside.select("doc_id", "source", "n_tokens", "sure", (F.col("run") <= F.col("left") + F.lit(1e-6)).cast("int").alias("extra"))
+    inside = inside.select("doc_id", "source", "n_tokens", "sure", (F.col("run") - F.col("n_tokens") / 2 <= F.col("left") + F.lit(1e-6)).cast("int").alias("extra"))
     outside = marked.where(F.coalesce(~straddles, F.lit(True))).select("doc_id", "source", "n_tokens", "sure", F.coalesce(F.col("whole"), F.lit(False)).cast("int").alias("extra"))
     taken = outside.unionByName(inside)
     return taken.select("doc_id", "source", "n_tokens", (F.col("sure") + F.col("extra")).alias("copies")).where("copies > 0")
