@@ -85,16 +85,20 @@ def structure(texts: list[bytes]) -> Nodes:
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     begins = np.concatenate(([0], np.cumsum(lengths + 1)[:-1])).astype(np.int64) if len(texts) else np.empty(0, np.int64)
     n = len(data)
-    index = np.arange(n)
+    index = np.arange(n, dtype=np.int32 if n < 2**31 else np.int64)
     # An escaped byte follows an odd run of backslashes.
     back = data == 92
-    before = np.maximum.accumulate(np.where(back, -1, index))
-    run = np.concatenate(([0], (index - before)[:-1])) if n else index
-    quote = (data == 34) & (run % 2 == 0)
-    inside = np.cumsum(quote) % 2 == 1  # from an opening quote up to the byte before the closing one
+    if back.any():
+        before = np.maximum.accumulate(np.where(back, index.dtype.type(-1), index))
+        odd = np.zeros(n, bool)
+        odd[1:] = ((index - before)[:-1] & 1).astype(bool)
+        quote = (data == 34) & ~odd
+    else:
+        quote = data == 34
+    inside = (np.cumsum(quote, dtype=index.dtype) & 1).astype(bool)  # from an opening quote up to the byte before the closing one
     open_ = ((data == 123) | (data == 91)) & ~inside
     close = ((data == 125) | (data == 93)) & ~inside
-    depth = np.cumsum(open_.astype(np.int32) - close.astype(np.int32))
+    depth = np.cumsum(open_.astype(np.int8) - close.astype(np.int8), dtype=np.int32)
     colon, comma = (data == 58) & ~inside, (data == 44) & ~inside
 
     # Structural bytes sorted by the depth of the container they belong to, then by place.
@@ -108,7 +112,7 @@ def structure(texts: list[bytes]) -> Nodes:
     ends = np.flatnonzero(~opens)
     starts, stops, container = at[ends - 1] + 1, at[ends], at[owner[ends]]
 
-    solid = np.cumsum(~_BLANK[data])
+    solid = np.cumsum(~_BLANK[data], dtype=index.dtype)
     filled = solid[stops - 1] - solid[np.maximum(starts - 1, 0)] > 0 if len(starts) else np.empty(0, bool)
     starts, stops, container = starts[filled], stops[filled], container[filled]
     # `{}` leaves nothing; members of objects have their colon at the container's own depth.
@@ -158,10 +162,11 @@ def structure(texts: list[bytes]) -> Nodes:
 
 def _next(mask: np.ndarray, forward: bool) -> np.ndarray:
     """The nearest set place at or after (before) each place."""
-    index = np.arange(len(mask))
+    index = np.arange(len(mask), dtype=np.int32 if len(mask) < 2**31 else np.int64)
+    kind = index.dtype.type
     if forward:
-        return np.minimum.accumulate(np.where(mask, index, len(mask) - 1)[::-1])[::-1]
-    return np.maximum.accumulate(np.where(mask, index, 0))
+        return np.minimum.accumulate(np.where(mask, index, kind(len(mask) - 1))[::-1])[::-1]
+    return np.maximum.accumulate(np.where(mask, index, kind(0)))
 
 
 def readable(text: str | None) -> bool:
@@ -270,14 +275,31 @@ def _children(nodes: Nodes, node: int) -> np.ndarray:
     return nodes.known["by parent"][low:high]
 
 
+# One structural index covers about this many characters, so that its arrays stay small whatever a batch holds.
+INDEX_CHARS = 2_000_000
+
+
+def slices(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of rows whose texts are about INDEX_CHARS long together; a longer text is a run of its own."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= INDEX_CHARS:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def report_rows(reports: DataFrame) -> DataFrame:
     """(root_table, root_id, child, path) of the labels, intervals, comparisons and rates in report bodies."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("report_id").to_pylist()
-            rows = report_children(batch.column("report_kind").to_pylist(), batch.column("body").to_pylist())
-            yield _batch([("report_files", ids[row], child, path) for row, child, path in rows])
+            ids, kinds, bodies = (batch.column(c).to_pylist() for c in ("report_id", "report_kind", "body"))
+            for part in slices(bodies):
+                rows = report_children(kinds[part], bodies[part])
+                yield _batch([("report_files", ids[part][row], child, path) for row, child, path in rows])
 
     return spread(reports.select("report_id", "report_kind", "body").where("body is not null")).mapInArrow(convert, CHILDREN)
 
@@ -309,8 +331,9 @@ def episode_rows(episodes: DataFrame) -> DataFrame:
             ids, kinds, paths, texts = (batch.column(c).to_pylist() for c in ("root_id", "child", "path", "arguments"))
             rows = [("episodes", i, c, p) for i, c, p in zip(ids, kinds, paths, strict=True)]
             some = [k for k, text in enumerate(texts) if text]
-            for k, keys in zip(some, first_level_keys([texts[k] for k in some]), strict=True):
-                rows += [("episodes", ids[k], "argument", f"{paths[k]}/{key}") for key in keys]
+            for part in slices([texts[k] for k in some]):
+                for k, keys in zip(some[part], first_level_keys([texts[k] for k in some[part]]), strict=True):
+                    rows += [("episodes", ids[k], "argument", f"{paths[k]}/{key}") for key in keys]
             yield _batch(rows)
 
     return message_parts(episodes).mapInArrow(convert, CHILDREN)
