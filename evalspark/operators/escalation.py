@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.functions.running import running_totals
+
 
 def signal(kind: Column, name_confidence: Column, step_confidence: Column, which: str) -> Column:
     """The number held against the threshold; null (always escalated) for what didn't parse."""
@@ -39,13 +41,13 @@ def sweep(steps: DataFrame, thresholds: list[float], by: list[str]) -> DataFrame
 def auroc(steps: DataFrame, by: list[str]) -> DataFrame:
     """(by, n_right, n_wrong, auroc): the chance that a wrong step has the lower signal, ties half; null with one class only.
 
-    Mann-Whitney over counts of equal signals: steps are counted by signal first, so a group's window orders
-    distinct signals, not steps. Unmeasured steps don't count.
+    Mann-Whitney over counts of equal signals, whose running totals are taken by ranges; no pairs, and no task
+    that orders a whole group. Unmeasured steps don't count.
     """
     measured = steps.where(F.col("signal").isNotNull())
     equal = measured.groupBy(*by, "signal").agg(F.count_if(F.col("right")).alias("r"), F.count_if(~F.col("right")).alias("w"))
-    below = F.sum("w").over(Window.partitionBy(*by).orderBy("signal")) - F.col("w")
-    wins = equal.select(*by, "r", "w", (F.col("r") * (2 * below + F.col("w"))).alias("twice"))
+    summed = running_totals(equal, by, "signal", ["w"])
+    wins = summed.select(*by, "r", "w", (F.col("r") * (2 * (F.col("w_upto") - F.col("w")) + F.col("w"))).alias("twice"))
     agg = wins.groupBy(*by).agg(F.sum("r").alias("n_right"), F.sum("w").alias("n_wrong"), F.sum("twice").alias("twice"))
     return agg.select(*by, "n_right", "n_wrong", F.try_divide(F.col("twice").cast("double"), (2 * F.col("n_right") * F.col("n_wrong")).cast("double")).alias("auroc"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.joins import on_groups
+from evalspark.functions.running import running_totals
 from evalspark.functions.text import folded
 
 # Two-sided 95 % quantiles of Student's t by degrees of freedom; 2.042 holds for 11 to 30, 1.96 above.
@@ -97,12 +98,12 @@ def rounded_rank(n: Column, q: float) -> Column:
 def nearest_rank(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """(by, a column for each q): the value at the half-to-even nearest rank; nulls are no values.
 
-    Values are counted before they are ranked, so a group's window orders its distinct values only.
+    Values are counted, then summed up in order by ranges, so no task orders a whole group.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("m"))
-    whole = Window.partitionBy(*by)
-    running = counts.select(*by, value, F.sum("m").over(whole.orderBy(value)).alias("upto"), F.sum("m").over(whole).alias("n"))
-    at = [F.min(F.when(F.col("upto") >= rounded_rank(F.col("n"), q), F.col(value))).alias(name) for name, q in qs.items()]
+    sizes = counts.groupBy(*by).agg(F.sum("m").alias("n"))
+    running = on_groups(running_totals(counts, by, value, ["m"]), sizes, by)
+    at = [F.min(F.when(F.col("m_upto") >= rounded_rank(F.col("n"), q), F.col(value))).alias(name) for name, q in qs.items()]
     return running.groupBy(*by).agg(*at)
 
 

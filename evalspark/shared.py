@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,16 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[app]}"
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system and path of a URI."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, never reused, so a lost or repeated run can't mix its rows with another's."""
-    return f"{shared_dir(spark)}/evalspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder, never reused, so a lost or repeated run can't mix its rows with another's.
+
+    The application's folder is removed when its driver ends.
+    """
+    app = f"{shared_dir(spark)}/evalspark/{spark.sparkContext.applicationId}"
+    if app not in _made:
+        files, target = _files(spark, app)
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        _made.add(app)
+    return f"{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _files(spark, path)
+    files.delete(target, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -47,11 +47,21 @@ def window_counts(rows: DataFrame, at: str, length: str = "60 seconds", slide: s
     return marked.groupBy(windows.alias("w")).agg(F.count("*").alias("n")).select("w.start", "w.end", "n")
 
 
-def in_last_minute(rows: DataFrame, by: list[str], at: str, seconds: int = 60) -> DataFrame:
-    """`rows` with the number of requests of their group in the `seconds` up to and with their own; exactly `seconds` old ones no longer count."""
+def in_last_minute(rows: DataFrame, by: list[str], at: str, seconds: int = 60, block: int = 3600) -> DataFrame:
+    """`rows` with the number of requests of their group in the `seconds` up to and with their own; exactly `seconds` old ones no longer count.
+
+    A group is cut into blocks of time, and the last `seconds` of a block are shown to the next one too, so a
+    group with most of the rows is many tasks' work. Rows without a time have no count.
+    """
+    if block < seconds:
+        raise ValueError("a block must be at least as long as the window")
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    frame = Window.partitionBy(*by).orderBy("_micros").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return rows.withColumn("_micros", micros).withColumn("n_window", F.count("*").over(frame)).drop("_micros")
+    own, span = F.floor(micros / (block * 1_000_000)), (seconds * 1_000_000) - 1
+    next_too = F.pmod(micros, F.lit(block * 1_000_000)) >= block * 1_000_000 - span
+    shown = rows.withColumn("_micros", micros).withColumn("_own", own).withColumn("_block", F.explode(F.when(next_too, F.array(own, own + 1)).otherwise(F.array(own))))
+    frame = Window.partitionBy(*by, "_block").orderBy("_micros").rangeBetween(-span, 0)
+    counted = shown.withColumn("n_window", F.when(F.col("_micros").isNotNull(), F.count("_micros").over(frame)))
+    return counted.where(F.col("_block").eqNullSafe(F.col("_own"))).select(*rows.columns, "n_window")
 
 
 def daily(rows: DataFrame, by: list[str], at: str, cap: int) -> DataFrame:

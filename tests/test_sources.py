@@ -113,6 +113,8 @@ def test_stream_resumes_once(spark, tmp_path):
 def test_windows_and_progress(spark):
     df = spark.createDataFrame([("u", i, float(t)) for i, t in enumerate([0, 30, 59.999999, 60, 61, 200])], "u string, i int, t double").selectExpr("u", "i", "timestamp_micros(cast(round(t * 1e6) as bigint)) as at")
     assert [r.n_window for r in runlog.in_last_minute(df, ["u"], "at").orderBy("i").collect()] == [1, 2, 3, 3, 4, 1]
+    for block in (60, 61, 100):
+        assert [r.n_window for r in runlog.in_last_minute(df, ["u"], "at", block=block).orderBy("i").collect()] == [1, 2, 3, 3, 4, 1]
     assert runlog.window_counts(df, "at").count() == 3
     assert [(r.n, r.over) for r in runlog.daily(df, ["u"], "at", 4).collect()] == [(6, 2)]
     log = spark.createDataFrame([(0, "a", 0), (0, "a", 0), (0, "b", 1), (1, "a", 0), (2, "a", 0)], "cell int, task_id string, seed int")

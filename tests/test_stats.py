@@ -207,3 +207,15 @@ def test_gate_and_base(spark):
     rates = spark.createDataFrame([(16, "z", 0.1), (16, "s", 0.26), (40, "s", 0.5), (80, "z", 0.4), (80, "s", 0.5)], "c int, label string, rate double")
     assert {r.c: r.verdict for r in compare.gate(rates, ["c"], "z", "s").collect()} == {16: "pass", 40: "incomplete", 80: "fail"}
     assert {r.c: r.base for r in compare.base_of(rates, "z", "s", ["c"]).collect()} == {16: "z", 40: "s", 80: "z"}
+
+
+def test_running_totals(spark):
+    import random
+
+    from evalspark.functions.running import running_totals
+
+    r = random.Random(2)
+    data = [(g, v, r.randint(1, 5)) for g in (None, 1) for v in r.sample(range(-10**6, 10**6), 300)] + [(2, 7, 3)]
+    found = running_totals(spark.createDataFrame(data, "g int, v bigint, w int"), ["g"], "v", ["w"]).collect()
+    assert len(found) == len(data)
+    assert all(row.w_upto == sum(w for g, v, w in data if g == row.g and v <= row.v) for row in found)
