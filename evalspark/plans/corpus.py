@@ -56,4 +56,42 @@ ORACLES = {
     "p2_by_batch": f"""
         SELECT batch_file, count(*) AS n_deliveries, count(d.delivery_id) AS n_repeated
         FROM free_log f LEFT JOIN ({_DROPPED}) d ON f.delivery_id = d.delivery_id GROUP BY batch_file""",
+    "p4_found": r"""
+    WITH f AS (SELECT file_id, file_name, lag(file_id) OVER (PARTITION BY file_name ORDER BY written_at, file_id) AS before, body FROM (SELECT file_id, file_name, written_at, try_cast(body AS json) AS body FROM completion_metas) WHERE json_type(body) = 'OBJECT' AND file_name IS NOT NULL),
+    t AS (SELECT f.file_id, replace(substr(e.fullkey, 3), '"', '') AS p, CASE e.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS k,
+        CASE WHEN e.type IN ('OBJECT', 'ARRAY') THEN NULL WHEN e.type IN ('VARCHAR', 'BOOLEAN') THEN e.value::varchar ELSE try_cast(e.value::varchar AS double)::varchar END AS v, e.value AS raw
+        FROM f, json_tree(f.body) AS e WHERE e.fullkey <> '$' AND NOT contains(e.fullkey, '[')),
+    n AS (SELECT file_id, p, k, CASE WHEN k = 'array' THEN raw::varchar WHEN k = 'object' THEN (SELECT coalesce(string_agg(substr(u.p, length(t.p) + 1) || '=' || u.k || ':' || coalesce(u.v, CASE WHEN u.k = 'array' THEN u.raw::varchar ELSE '' END), chr(10) ORDER BY u.p), '') FROM t u WHERE u.file_id = t.file_id AND starts_with(u.p, t.p || '.')) ELSE v END AS v FROM t),
+    o AS (SELECT f.file_id, n.p, n.k, n.v FROM f JOIN n ON n.file_id = f.before), w AS (SELECT f.file_id, n.p, n.k, n.v FROM f JOIN n ON n.file_id = f.file_id WHERE f.before IS NOT NULL),
+    g AS (SELECT o.*, row_number() OVER (PARTITION BY o.file_id, o.k, o.v ORDER BY o.p) AS i FROM o ANTI JOIN w ON o.file_id = w.file_id AND o.p = w.p), c AS (SELECT w.*, row_number() OVER (PARTITION BY w.file_id, w.k, w.v ORDER BY w.p) AS i FROM w ANTI JOIN o ON o.file_id = w.file_id AND o.p = w.p),
+    m AS (SELECT g.file_id, g.p AS old, c.p AS new FROM g JOIN c ON g.file_id = c.file_id AND g.k = c.k AND g.v = c.v AND g.i = c.i WHERE g.k <> 'null')
+    SELECT o.file_id, o.p AS field_path, 'retyped' AS change FROM o JOIN w ON o.file_id = w.file_id AND o.p = w.p WHERE o.k <> w.k AND 'null' NOT IN (o.k, w.k)
+    UNION ALL SELECT file_id, new, 'renamed' FROM m
+    UNION ALL SELECT file_id, p, 'removed' FROM g WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = g.file_id AND m.old = g.p)
+    UNION ALL SELECT file_id, p, 'added' FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = c.file_id AND m.new = c.p)""",
+    "p4_layouts": r"""
+    WITH f AS (SELECT file_id, written_at, body FROM (SELECT file_id, written_at, try_cast(body AS json) AS body FROM completion_metas) WHERE json_type(body) = 'OBJECT'),
+    t AS (SELECT f.file_id, replace(substr(e.fullkey, 3), '"', '') || chr(9) || CASE e.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS p
+        FROM f, json_tree(f.body) AS e WHERE e.fullkey <> '$' AND NOT contains(e.fullkey, '[')),
+    l AS (SELECT file_id, substr(sha256(string_agg(p, chr(10) ORDER BY p)), 1, 16) AS layout FROM t GROUP BY 1)
+    SELECT layout, count(*) AS n_files, min(written_at) AS first_written, max(written_at) AS last_written FROM f JOIN l USING (file_id) GROUP BY 1""",
+    "p5_found": r"""
+    WITH m AS (SELECT episode_id, i, messages[i + 1] AS m FROM episodes, unnest(range(len(messages))) AS t(i) WHERE messages[i + 1] IS NOT NULL),
+    c AS (SELECT episode_id, i, j, m.tool_calls[j + 1] AS c FROM m, unnest(range(len(m.tool_calls))) AS t(j) WHERE m.tool_calls[j + 1] IS NOT NULL),
+    p AS (SELECT episode_id, i, j, try_cast(c.arguments AS json) AS a FROM c),
+    a AS (SELECT episode_id, i, j, CASE WHEN json_type(a) = 'VARCHAR' THEN try_cast(a->>'$' AS json) ELSE a END AS a FROM p),
+    k AS (SELECT DISTINCT episode_id, i, j, unnest(json_keys(a)) AS k FROM a WHERE json_type(a) = 'OBJECT'),
+    r AS (SELECT report_id, report_kind AS kind, try_cast(body AS json) AS b FROM report_files),
+    l0 AS (SELECT report_id, b->'labels' AS l FROM r WHERE kind = 'forced' AND json_type(b) = 'OBJECT'),
+    l AS (SELECT report_id, CASE WHEN json_type(l) = 'VARCHAR' THEN try_cast(l->>'$' AS json) ELSE l END AS l FROM l0),
+    lb AS (SELECT report_id, key AS name, value AS v FROM (SELECT report_id, e.key, e.value FROM l, json_each(l.l) AS e WHERE json_type(l.l) = 'OBJECT') WHERE json_type(value) <> 'NULL'
+        UNION ALL SELECT report_id, e.value->>'label', e.value FROM l, json_each(l.l) AS e WHERE json_type(l.l) = 'ARRAY' AND json_type(e.value->'label') = 'VARCHAR'),
+    q AS (SELECT report_id, CASE WHEN json_type(b) = 'OBJECT' AND json_exists(b, '$.comparisons') THEN b->'comparisons' WHEN json_type(b) = 'OBJECT' THEN json_array(b) ELSE b END AS q FROM r WHERE kind = 'compare'),
+    cm AS (SELECT report_id, e.key::bigint AS n, e.value AS v FROM q, json_each(q.q) AS e WHERE json_type(q.q) = 'ARRAY' AND json_type(e.value) <> 'NULL'),
+    rt AS (SELECT report_id, n, CASE WHEN json_type(v->'rates') = 'VARCHAR' THEN try_cast(v->>'rates' AS json) ELSE v->'rates' END AS r FROM cm),
+    rn AS (SELECT report_id, n, e.key AS name FROM rt, json_each(rt.r) AS e WHERE json_type(rt.r) = 'OBJECT' AND json_type(e.value) <> 'NULL' UNION ALL SELECT report_id, n, e.value->>'name' FROM rt, json_each(rt.r) AS e WHERE json_type(rt.r) = 'ARRAY' AND json_type(e.value->'name') = 'VARCHAR')
+    SELECT 'episodes' AS root_table, episode_id AS root_id, 'message' AS child, i::varchar AS path FROM m
+    UNION ALL SELECT 'episodes', episode_id, 'tool_call', i || '/' || j FROM c UNION ALL SELECT 'episodes', episode_id, 'argument', i || '/' || j || '/' || k FROM k
+    UNION ALL SELECT DISTINCT 'report_files', report_id, 'label', name FROM lb UNION ALL SELECT DISTINCT 'report_files', report_id, 'interval', name || '/step_agreement_by_episode' FROM lb WHERE json_type(v->'step_agreement_by_episode') <> 'NULL'
+    UNION ALL SELECT 'report_files', report_id, 'comparison', n::varchar FROM cm UNION ALL SELECT DISTINCT 'report_files', report_id, 'rate', n || '/' || name FROM rn""",
 }
