@@ -64,8 +64,7 @@ QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "
 
 _NUMBER = "CASE WHEN regexp_full_match(trim({0}), '[0-9]{{1,18}}') THEN CAST(trim({0}) AS BIGINT) END"
 
-ORACLES = {
-    "p3_found": f"""
+_GROUPS = f"""
         WITH RECURSIVE t AS (
             SELECT {_NUMBER.format("task_id")} AS task, lower(trim(user_id)) AS usr, {_NUMBER.format("derived_from")} AS origin FROM tasks
         ), u AS (
@@ -81,5 +80,23 @@ ORACLES = {
             SELECT v, v AS w FROM every WHERE v IS NOT NULL
             UNION SELECT reach.v, e.b FROM reach JOIN e ON reach.w = e.a
         )
-        SELECT v AS task_no, min(w) AS group_no FROM reach GROUP BY v""",
+        SELECT v AS task_no, min(w) AS group_no FROM reach GROUP BY v"""
+_SPLITS = f"""
+        SELECT task_no, x.group_no, split_name, n_episodes, n_steps FROM (
+            SELECT k.*, coalesce(p.n, 0) AS n_episodes, coalesce(s.n, 0) AS n_steps FROM ({_GROUPS}) k
+            LEFT JOIN (SELECT {_NUMBER.format("task_id")} AS t, count(*) AS n FROM episodes GROUP BY 1) p ON p.t = k.task_no
+            LEFT JOIN (SELECT {_NUMBER.format("split_part(step_id, ':', 1)")} AS t, count(*) AS n FROM eval_steps GROUP BY 1) s ON s.t = k.task_no) x
+        JOIN (
+            SELECT group_no, (SELECT split_name FROM (SELECT split_name, sum(share) OVER (ORDER BY share DESC, split_name) / sum(share) OVER () AS upto FROM split_targets WHERE share > 0) WHERE upto > middle ORDER BY upto LIMIT 1) AS split_name FROM (
+                SELECT group_no, (sum(weight) OVER (ORDER BY md5('0:' || group_no), group_no) - weight / 2::double) / sum(weight) OVER () AS middle FROM (
+                    SELECT group_no, greatest(1, sum(coalesce(p.n, 0) + coalesce(s.n, 0))) AS weight FROM ({_GROUPS}) k
+                    LEFT JOIN (SELECT {_NUMBER.format("task_id")} AS t, count(*) AS n FROM episodes GROUP BY 1) p ON p.t = k.task_no
+                    LEFT JOIN (SELECT {_NUMBER.format("split_part(step_id, ':', 1)")} AS t, count(*) AS n FROM eval_steps GROUP BY 1) s ON s.t = k.task_no GROUP BY 1))) y ON x.group_no = y.group_no"""
+
+ORACLES = {
+    "p3_found": _GROUPS,
+    "p3_splits": f"SELECT task_no, group_no, split_name FROM ({_SPLITS})",
+    "p3_shares": f"""
+        SELECT t.split_name, t.share AS target_share, coalesce(r, 0)::double / sum(coalesce(r, 0)) OVER () AS actual_share, coalesce(g, 0) AS n_groups, coalesce(k, 0) AS n_tasks, coalesce(e, 0)::bigint AS n_episodes, coalesce(s, 0)::bigint AS n_steps
+        FROM split_targets t LEFT JOIN (SELECT split_name, sum(n_episodes + n_steps) AS r, count(DISTINCT group_no) AS g, count(*) AS k, sum(n_episodes) AS e, sum(n_steps) AS s FROM ({_SPLITS}) GROUP BY 1) c ON c.split_name = t.split_name""",
 }

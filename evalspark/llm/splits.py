@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import folded, strip, whole_number
+from evalspark.operators.sampling import hash_place
 from evalspark.shared import written
 
 # What a user_id says when no user is known.
 NO_USER = ["", "?", "-", "--", "n/a", "na", "nan", "none", "null", "nil", "unknown", "undefined", "anonymous", "no user", "not known"]
 MAX_ROUNDS = 200
-BUCKETS = 4096
 
 
 def known_user(column: Column) -> Column:
@@ -100,13 +100,12 @@ def groups(tasks: DataFrame, episodes: DataFrame, steps: DataFrame) -> DataFrame
 def assign(grouped: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """`grouped` with split_name: groups in hash order, each put where the middle of its weight falls.
 
-    A group weighs its episodes and steps, at least 1. The running sum is taken over a fixed number of hash
-    buckets first and inside each bucket then, so no task orders all groups. Shares need not add up to 1.
+    A group weighs its episodes and steps, at least 1. The running sum is taken over 4096 hash buckets
+    first and inside each bucket then, so no task orders all groups. Shares need not add up to 1.
     """
     weight = F.greatest(F.sum(F.col("n_episodes") + F.col("n_steps")), F.lit(1))
     by_group = grouped.groupBy("group_no").agg(weight.alias("weight"))
-    place = F.xxhash64("group_no", F.lit(seed))
-    by_group = by_group.withColumn("place", place).withColumn("bucket", F.shiftrightunsigned("place", 52).cast("int"))
+    by_group = by_group.withColumn("place", hash_place(F.col("group_no"), seed)).withColumn("bucket", F.substring("place", 1, 3))
     sums = by_group.groupBy("bucket").agg(F.sum("weight").alias("bucket_weight"))
     one = Window.partitionBy(F.lit(1))
     running = F.sum("bucket_weight").over(one.orderBy("bucket"))
