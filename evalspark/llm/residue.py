@@ -19,6 +19,7 @@ stands in a sentence with names, numbers or other content, isn't such a segment.
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
@@ -281,6 +282,27 @@ EVIDENCE = "doc_id bigint, kind string, key bigint, place int, local bigint, val
 _EVIDENCE_ARROW = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("key", pa.int64()), ("place", pa.int32()), ("local", pa.int64()), ("value", pa.int64()), ("flag", pa.bool_())])
 
 
+def number(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+
+
+@functools.lru_cache(maxsize=50_000)
+def reading(segment: str) -> tuple[str, tuple]:
+    """What a segment is by itself, remembered as many segments recur.
+
+    (`mark`, a (key, place, around, value, about) for each mark), (`line`, (key,)), (`plain`, (key,)) or (`none`, ()).
+    """
+    if spans := marks(segment):
+        key, found = template(segment, spans)
+        about = spoken_of(segment, spans)
+        return "mark", tuple((number(key), i, number(around), number(value), about) for i, (value, around) in enumerate(found))
+    if constant(segment):
+        return "line", (number(segment.casefold()),)
+    return ("plain", (number(template(segment, [])[0]),)) if len(segment) < 400 else ("none", ())
+
+
 def evidence(documents: DataFrame) -> DataFrame:
     """What each segment says for or against residue.
 
@@ -290,11 +312,6 @@ def evidence(documents: DataFrame) -> DataFrame:
     """
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        def number(text: str) -> int:
-            return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
-
         for batch in batches:
             rows, plain = [], set()
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -303,16 +320,14 @@ def evidence(documents: DataFrame) -> DataFrame:
                 if pages or whole_text_residue(text):
                     rows.append((doc, "page", None, None, None, None, None))
                 for part in parts:
-                    if (spans := marks(part)):
-                        key, found = template(part, spans)
-                        about = spoken_of(part, spans)
-                        rows += [(doc, "mark", number(key), i, number(around), number(value), about) for i, (value, around) in enumerate(found)]
-                        continue
-                    if part not in pages and constant(part):
-                        rows.append((doc, "line", number(part.casefold()), None, None, None, bool(pages)))
-                    elif part not in pages and len(part) < 400:
-                        plain.add(template(part, [])[0])
-            rows += [(None, "plain", number(key), None, None, None, None) for key in plain]
+                    kind, found = reading(part)
+                    if kind == "mark":
+                        rows += [(doc, "mark", *one) for one in found]
+                    elif kind == "line" and part not in pages:
+                        rows.append((doc, "line", found[0], None, None, None, bool(pages)))
+                    elif kind == "plain" and part not in pages:
+                        plain.add(found[0])
+            rows += [(None, "plain", key, None, None, None, None) for key in plain]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(_EVIDENCE_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _EVIDENCE_ARROW, strict=True)], schema=_EVIDENCE_ARROW)
 
