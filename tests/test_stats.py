@@ -51,10 +51,10 @@ def test_null_groups_stay(spark):
 
 
 def test_file_cells(spark):
-    names = ["free-qwen15b-sft-esc0.70-c80.jsonl", "free-x-c16.jsonl", "forced-c16.jsonl"]
+    names = ["free-small-sft-esc0.70-c80.jsonl", "free-x-c16.jsonl", "forced-c16.jsonl"]
     df = spark.createDataFrame([(n,) for n in names], "f string").select("f", stats.cell_of_file(__import__("pyspark.sql.functions", fromlist=["col"]).col("f")).alias("c"))
     found = {r.f: r.c and tuple(r.c) for r in df.collect()}
-    assert list(found.values()) == [("qwen15b-sft", 0.7, 80), ("x", None, 16), None]
+    assert list(found.values()) == [("small-sft", 0.7, 80), ("x", None, 16), None]
 
 
 def test_two_nearest_ranks(spark):
