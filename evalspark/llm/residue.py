@@ -6,9 +6,10 @@ whole corpus, by aggregates over segments:
 * Slots. Segments of one template are aligned by masking what may vary: numbers, identifiers, addresses, names
   and marks. A mark is something that stands for a value: a variable in any of the common template notations, a
   default such as `undefined`, or a blank. Where records of a template hold different things in a place, the
-  place is a slot, and a mark in it was left unfilled. Where all records hold the same mark, it belongs to what
-  the text says (a note on a placeholder, template or program source) and is no residue. Segments too rare to
-  tell are aligned a second time by the words around the mark only.
+  place is a slot, and a mark in it was left unfilled; segments are aligned a second time by the words around the
+  mark only. Where all records hold the same mark, the segment itself decides: one that quotes or explains the
+  mark, or is program source, is no residue, any other is. How often a segment occurs never counts, so copies or
+  a larger table don't turn an answer.
 * Pages. Fixed phrases say for certain that a segment is an error title, an error message, a script notice or
   filler. Other segments that recur word for word, at least PAGE_DOCS times and mostly in documents with such a
   segment, belong to the same page templates.
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 
 from evalspark.shared import spread, written
 
-SLOT_RECORDS = 5  # records from which a constant mark counts as part of its template
 PAGE_DOCS = 5
 PAGE_SHARE = 0.5
 MAX_WORDS = 24
@@ -235,11 +235,11 @@ def template(segment: str, spans: list[tuple[int, int]]) -> tuple[str, list[tupl
 
 
 # Fixed words of sentences that speak about marks instead of leaving them.
-_ABOUT = re.compile(r"(?i)\b(?:placeholders?|templates?|platzhalter|plantilla|modèle|variable|column|replaced?|replaces|renamed|script|encoder|heading|help page|brackets|means|print|for .{1,30} in .{1,30}:)\b")
+_ABOUT = re.compile(r"(?i)\b(?:placeholders?|templates?|platzhalter|plantilla|modèle|variable|column|replaced?|replaces|renamed|script|encoder|heading|help page|brackets|means|print|for .{1,30} in .{1,30}:|on purpose|type (?:your|the|a) .{1,40} into)\b|\bf[\"']")
 
 
 def spoken_of(segment: str, spans: list[tuple[int, int]]) -> bool:
-    """Whether a rare segment quotes or explains its marks."""
+    """Whether a segment quotes or explains its marks."""
     quoted = all(segment[a - 1 : a] in _QUOTES and segment[b : b + 1] in _QUOTES and a > 0 for a, b in spans) and not segment.lstrip().startswith("{")
     return quoted or _ABOUT.search(MARK.sub(" ", segment)) is not None
 
@@ -343,17 +343,12 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     all_ = written(evidence(documents), "residue-evidence")
 
     found = all_.where("kind = 'mark'").select("doc_id", "key", "place", "local", "value", F.col("flag").alias("about"))
-    spread = (F.min("value") != F.max("value")).alias("varies"), F.count("*").alias("n")
-    by_key = found.groupBy("key", "place").agg(*spread).withColumnsRenamed({"varies": "key_varies", "n": "key_n"})
-    by_local = found.groupBy("local").agg(*spread).withColumnsRenamed({"varies": "local_varies", "n": "local_n"})
+    varies = F.min("value") != F.max("value")
+    by_key = found.groupBy("key", "place").agg(varies.alias("key_varies"))
+    by_local = found.groupBy("local").agg(varies.alias("local_varies"))
     plain = all_.where("kind = 'plain'").select("key").distinct().withColumn("filled", F.lit(True))
     judged = found.join(by_key, ["key", "place"]).join(by_local, "local").join(plain, "key", "left")
-    slot = (
-        F.when(F.col("filled") | F.col("key_varies"), True)
-        .when(F.col("key_n") >= SLOT_RECORDS, False)
-        .when(F.col("local_n") >= SLOT_RECORDS, F.col("local_varies"))
-        .otherwise(~F.col("about"))
-    )
+    slot = F.coalesce(F.col("filled"), F.lit(False)) | F.col("key_varies") | F.col("local_varies") | ~F.col("about")
     unfilled = judged.where(slot).select("doc_id")
 
     lines = all_.where("kind = 'line'").select("doc_id", "key", "flag")

@@ -71,6 +71,14 @@ def test_constant_marks_are_text_and_varying_marks_are_slots(spark):
     assert found(spark, texts) == set(range(8, 16)) | {len(texts) - 1}
 
 
+def test_copies_do_not_turn_an_answer(spark):
+    unfilled = "Dear {{ first_name }}, order {{ order_id }} is on its way."
+    guide = "Step {} of the guide: type your name into the box <your name>, then press send."
+    for n in (1, 4, 12):
+        texts = [unfilled] * n + [f"Parcel {i} was sent to __CITY__." for i in range(n)]
+        assert found(spark, texts + [guide.format(i) for i in range(n)]) == set(range(2 * n))
+
+
 def test_page_sentences_are_learnt_from_company(spark):
     pages = [f"Page not found\nThe aardvark has left the building.\nReference {i}" for i in range(6)]
     alone = ["The aardvark has left the building."]
