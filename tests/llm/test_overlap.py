@@ -56,6 +56,30 @@ def test_equals_all_pairs(spark, seed):
     assert set(found) == brute(evals, trains) and len(found) > 100
 
 
+def test_scattered_changes_in_long_conversations(spark):
+    evals, trains, r = [], [], random.Random(3)
+    for i, (size, share) in enumerate([(100, 0.2), (100, 0.25), (240, 0.15), (240, 0.25), (900, 0.24), (900, 0.26)]):
+        words = [f"t{i}x{j}" if j % 2 else f"c{r.randint(0, 50)}" for j in range(size)]
+        at = {int(x / share) for x in range(round(size * share))}
+        evals.append((i, chat(" ".join(words)), "test", "a", 0, ""))
+        trains.append((100 + i, chat(" ".join(f"n{j}" if j in at else w for j, w in enumerate(words))), 0, ""))
+        # Words left out in one place and put in at another.
+        out = [w for j, w in enumerate(words) if j % 8]
+        trains.append((200 + i, chat(" ".join(x for j, w in enumerate(out) for x in ((w, f"m{j}") if j % 7 == 3 else (w,)))), 0, ""))
+    found = [tuple(x) for x in overlap.overlaps(*frames(spark, evals, trains)).collect()]
+    assert sorted(found) == sorted(brute(evals, trains)) and {(i, 100 + i) for i in range(5)} <= set(found)
+
+
+def test_blocks_of_any_size_give_the_same_pairs(spark, monkeypatch):
+    texts = some_texts(5)
+    evals = [(i, chat(t), "test", "a", 0, "") for i, t in enumerate(texts[::2])]
+    trains = [(1000 + i, chat(t), 0, "") for i, t in enumerate(texts[1::2])]
+    monkeypatch.setattr(overlap, "LEFT_WORDS", 1500)
+    monkeypatch.setattr(overlap, "RIGHT_WORDS", 900)
+    found = [tuple(x) for x in overlap.overlaps(*frames(spark, evals, trains)).collect()]
+    assert sorted(found) == sorted(brute(evals, trains))
+
+
 def test_conversation_leaves_markers_and_system_turns_out():
     plain = overlap.words(overlap.conversation(chat("Order #K12, ﬁne 5.5 straße now")))
     assert plain == ["order", "k12", "fine", "5", "5", "strasse", "now"]
