@@ -64,7 +64,8 @@ def paired_bootstrap(sums: DataFrame, episode: list[str], resamples: int = 2000)
     sized = spark.range(resamples).withColumnRenamed("id", "r").join(F.broadcast(n)).where("n > 0")  # n is one row
     draws = sized.select("r", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot"))
     weights = draws.groupBy("r", drawn(F.col("r"), F.col("slot"), F.col("n")).alias("e")).agg(F.count("*").alias("w"))
-    met = weights.join(sums.join(numbered, episode).select("e", "rate", "den", "base_hits", "new_hits"), "e")
+    # The draws look small to the planner and aren't; without the hint it would broadcast them.
+    met = weights.join(sums.join(numbered, episode).select("e", "rate", "den", "base_hits", "new_hits").hint("shuffle_hash"), "e")
     per = met.groupBy("r", "rate").agg(F.sum(F.col("w") * F.col("den")).alias("den"), F.sum(F.col("w") * (F.col("new_hits") - F.col("base_hits"))).alias("gain")).where("den > 0")
     per = per.select("rate", (F.col("gain").cast("double") / F.col("den")).alias("delta"))
     by = Window.partitionBy("rate")

@@ -115,7 +115,7 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last training state's action against the first one's, over episodes of eval steps."""
     base, new = (scored_steps(spark, sf_dir, which).where("task is not null and rep is not null") for which in ("first", "last"))
     sums = compare.episode_sums(base, new, ["task", "rep"], "eval_id")
-    found = compare.paired_bootstrap(sums, ["task", "rep"], 200)
+    found = compare.paired_bootstrap(sums, ["task", "rep"])
     return rounded(found, "base", "new", "delta", "ci95_low", "ci95_high")
 
 

@@ -135,6 +135,18 @@ def test_paired_bootstrap(spark):
     assert found == {r.rate: r for r in compare.paired_bootstrap(sums, ["task", "rep"], 300).collect()}
 
 
+def test_paired_bootstrap_query_draws_2000_times(spark, monkeypatch):
+    from evalspark.plans import conversations
+
+    base = spark.createDataFrame([scored_row(i, i % 3 == 0) for i in range(80)], SCORED).withColumnRenamed("step", "eval_id")
+    new = spark.createDataFrame([scored_row(i, i % 7 < 3) for i in range(80)], SCORED).withColumnRenamed("step", "eval_id")
+    monkeypatch.setattr(conversations, "scored_steps", lambda spark, sf_dir, which: base if which == "first" else new)
+    sums = compare.episode_sums(base, new, ["task", "rep"], "eval_id")
+    ends = lambda rows: {r.rate: (round(r.ci95_low, 6), round(r.ci95_high, 6)) for r in rows}
+    drawn = {n: ends(compare.paired_bootstrap(sums, ["task", "rep"], n).collect()) for n in (200, 2000)}
+    assert ends(conversations.paired_bootstrap(spark, "").collect()) == drawn[2000] != drawn[200]
+
+
 def test_pairing_refuses(spark):
     a, b = (spark.createDataFrame([(t,) for t in x], "task int") for x in ([1, 2, 3], [2, 3, 4, 5]))
     assert tuple(compare.pairing(a, b, ["task"]).first()) == (2, 1, 2)
