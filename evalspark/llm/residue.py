@@ -292,7 +292,7 @@ def number(text: str) -> int:
 def reading(segment: str) -> tuple[str, tuple]:
     """What a segment is by itself, remembered as many segments recur.
 
-    (`mark`, a (key, place, around, value, about) for each mark), (`line`, (key,)), (`plain`, (key,)) or (`none`, ()).
+    (`mark`, a (key, place, around, value, about) for each mark), (`line`, (key,)) or (`plain`, (key,)).
     """
     if spans := marks(segment):
         key, found = template(segment, spans)
@@ -300,7 +300,7 @@ def reading(segment: str) -> tuple[str, tuple]:
         return "mark", tuple((number(key), i, number(around), number(value), about) for i, (value, around) in enumerate(found))
     if constant(segment):
         return "line", (number(segment.casefold()),)
-    return ("plain", (number(template(segment, [])[0]),)) if len(segment) < 400 else ("none", ())
+    return "plain", (number(template(segment, [])[0]),)
 
 
 def evidence(documents: DataFrame) -> DataFrame:

@@ -79,6 +79,11 @@ def test_copies_do_not_turn_an_answer(spark):
         assert found(spark, texts + [guide.format(i) for i in range(n)]) == set(range(2 * n))
 
 
+def test_long_records_show_that_a_place_is_filled(spark):
+    long = "The template of this parcel note says that {} waits at the depot" + " and that nobody has asked for it so far" * 12 + "."
+    assert found(spark, [long.format("{{ item }}"), long.format("77"), "fine"]) == {0}
+
+
 def test_page_sentences_are_learnt_from_company(spark):
     pages = [f"Page not found\nThe aardvark has left the building.\nReference {i}" for i in range(6)]
     alone = ["The aardvark has left the building."]
