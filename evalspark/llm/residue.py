@@ -132,7 +132,7 @@ def _cores(pattern: str) -> set[str]:
     """Texts of which any match of a fixed phrase holds one: the longest outside of groups, else one of each alternative."""
     literal = re.compile(r"[^\\.?(){}|^$*+\[\]\d_]{2,}")
     longest = lambda text: max((t.strip() for t in literal.findall(text)), key=len, default="")
-    pattern = re.sub(r"\(\?:[^()]*\)\?", "|", pattern)
+    pattern = re.sub(r"\(\?:[^()]*\)\?|\w\?", "|", pattern)
     outside = longest(re.sub(r"\(\?:[^()]*\)|\\.|\.\{[^}]*\}", "|", pattern))
     if len(outside) > 2:
         return {outside}

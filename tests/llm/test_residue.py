@@ -104,3 +104,32 @@ def test_texts_without_a_core_hold_no_page_segment():
     for text in filter(None, CASES):
         parts = residue.segments(text)
         assert residue.may_hold_pages("\n".join(parts).casefold()) or not any(map(residue.page_segment, parts))
+
+
+def variants(tree):
+    """Texts that a parsed pattern matches: each branch, and optional parts once with and once without."""
+    out = [""]
+    for op, value in tree:
+        name = str(op)
+        if name == "LITERAL":
+            tails = [chr(value)]
+        elif name == "BRANCH":
+            tails = [v for branch in value[1] for v in variants(branch)]
+        elif name == "SUBPATTERN":
+            tails = variants(value[3])
+        elif name == "MAX_REPEAT":
+            tails = [v * n for v in variants(value[2]) for n in sorted({value[0], max(value[0], 1)})]
+        else:
+            assert name in ("AT", "ANY"), name
+            tails = ["" if name == "AT" else "-"]
+        out = [a + b for a in out for b in tails]
+    return out
+
+
+def test_every_text_a_phrase_matches_holds_a_core():
+    import re
+
+    assert residue.page_segment("Some parts of this page require scripts.") and residue.may_hold_pages("some parts of this page require scripts.")
+    for pattern in (p.strip() for text in (residue.PHRASES, residue.FILLER) for line in text.strip().splitlines() for p in line.split(" | ")):
+        for text in variants(re._parser.parse(pattern)):
+            assert re.search(pattern, text) and residue.may_hold_pages(text), (pattern, text)
