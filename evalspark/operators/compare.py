@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.operators.invariants import require
+from evalspark.operators.sampling import permuted
 from evalspark.operators.scoring import BUCKETS, CALL, REPLY
 
 
@@ -52,32 +54,52 @@ def drawn(resample: Column, slot: Column, n: Column) -> Column:
 def paired_bootstrap(sums: DataFrame, episode: list[str], resamples: int = 2000) -> DataFrame:
     """(rate, n_steps, base, new, delta, ci95_low, ci95_high) of per-episode sums.
 
-    Episodes are numbered in key order; resample r draws episode `drawn(r, slot)` for each slot, so a drawn
-    episode's weight is the number of its slots. Weights are counted before they meet the sums: the join has
-    (resample, episode) rows, the aggregate (resample, rate). Resamples without steps are left out; the interval
+    Episodes are numbered in hash order of their key; resample r draws episode `drawn(r, slot)` for each slot. All
+    rates of an episode stand in one row, and what a task's draws add up to is summed by resample before it is
+    exchanged, so the aggregate has `resamples` rows a task. Resamples without steps are left out; the interval
     ends at the ranks floor(0.025 m) and floor(0.975 m) - 1, from 0. The method is for tables of episodes, whose
     number times the resamples is the size of the draws.
     """
     spark = sums.sparkSession
-    numbered = sums.select(*episode).distinct().withColumn("e", F.row_number().over(Window.orderBy(*episode)) - 1)
-    n = numbered.agg(F.count("*").alias("n"))
-    sized = spark.range(resamples).withColumnRenamed("id", "r").join(F.broadcast(n)).where("n > 0")  # n is one row
-    draws = sized.select("r", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot"))
-    weights = draws.groupBy("r", drawn(F.col("r"), F.col("slot"), F.col("n")).alias("e")).agg(F.count("*").alias("w"))
+    rates = [r.rate for r in sums.select("rate").distinct().orderBy("rate").collect()]  # the fixed rates of `rate_rows`
+    if not rates:
+        return spark.createDataFrame([], "rate string, n_steps bigint, base double, new double, delta double, ci95_low double, ci95_high double")
+    at = lambda rate, c: F.sum(F.when(F.col("rate") == rate, c))
+    gain = F.col("new_hits") - F.col("base_hits")
+    wide = sums.groupBy(*episode).agg(*(f(r, c).alias(f"{n}{i}") for i, r in enumerate(rates) for n, f, c in (("d", at, F.col("den")), ("g", at, gain))))
+    numbered = permuted(wide.withColumn("_key", F.concat_ws(":", *episode)), "_key", name="_at").withColumn("e", F.col("_at") - 1)
+    n = wide.agg(F.count("*").alias("n"))
+    # Slots are dealt to tasks, not resamples: there are enough of either.
+    sized = spark.range(0, resamples, 1, max(8, spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "r").join(F.broadcast(n)).where("n > 0")  # n is one row
+    draws = sized.select("r", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot")).select("r", drawn(F.col("r"), F.col("slot"), F.col("n")).alias("e"))
+    fields = [f"{x}{i}" for i in range(len(rates)) for x in "dg"]
     # The draws look small to the planner and aren't; without the hint it would broadcast them.
-    met = weights.join(sums.join(numbered, episode).select("e", "rate", "den", "base_hits", "new_hits").hint("shuffle_hash"), "e")
-    per = met.groupBy("r", "rate").agg(F.sum(F.col("w") * F.col("den")).alias("den"), F.sum(F.col("w") * (F.col("new_hits") - F.col("base_hits"))).alias("gain")).where("den > 0")
-    per = per.select("rate", (F.col("gain").cast("double") / F.col("den")).alias("delta"))
-    by = Window.partitionBy("rate")
-    ranked = per.select("rate", "delta", (F.row_number().over(by.orderBy("delta")) - 1).alias("rank"), F.count("*").over(by).alias("m"))
-    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("delta")))
-    ends = ranked.groupBy("rate").agg(at(F.floor(0.025 * F.col("m"))).alias("ci95_low"), at(F.floor(0.975 * F.col("m")) - 1).alias("ci95_high"))
+    met = draws.join(numbered.select("e", *fields).hint("shuffle_hash"), "e")
+    per = met.groupBy("r").agg(*(F.sum(f).alias(f) for f in fields))
+    stacked = per.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), F.col(f"d{i}").alias("den"), F.col(f"g{i}").alias("gain")) for i, r in enumerate(rates)))).alias("x")).select("x.*").where("den > 0")
+    deltas = stacked.groupBy("rate").agg(F.array_sort(F.collect_list(F.col("gain").cast("double") / F.col("den"))).alias("deltas"))  # `resamples` numbers a rate
+    m = F.size("deltas")
+    ends = deltas.select("rate", F.get("deltas", F.floor(0.025 * m).cast("int")).alias("ci95_low"), F.get("deltas", (F.floor(0.975 * m) - 1).cast("int")).alias("ci95_high"))
     whole = sums.groupBy("rate").agg(F.sum("den").alias("n_steps"), F.sum("base_hits").alias("b"), F.sum("new_hits").alias("w")).where("n_steps > 0")
     joined = whole.join(ends, "rate", "left")
     ratio = lambda c: c.cast("double") / F.col("n_steps")
     return joined.select("rate", "n_steps", ratio(F.col("b")).alias("base"), ratio(F.col("w")).alias("new"), ratio(F.col("w") - F.col("b")).alias("delta"), "ci95_low", "ci95_high")
 
 
+def step_sequences(base: DataFrame, new: DataFrame, episode: list[str], step: str, index: str) -> DataFrame:
+    """One row: n_same, n_differ of the episodes in both runs, by whether they hold the same steps in the same order."""
+    steps = lambda df, name: df.groupBy(*episode).agg(F.transform(F.array_sort(F.collect_list(F.struct(index, step))), lambda s: s[step]).alias(name))
+    same = F.col("_a") == F.col("_b")
+    return steps(base, "_a").join(steps(new, "_b"), episode).agg(F.count_if(same).alias("n_same"), F.count_if(~same).alias("n_differ"))
+
+
+def chosen_runs(rows: DataFrame, label: str, wanted: list[str]) -> DataFrame:
+    """The rows of the wanted labels; a label without rows is an error."""
+    missing = rows.sparkSession.createDataFrame([(w,) for w in wanted], f"{label} string").join(rows.select(label), label, "left_anti")
+    require(missing, "every run that is compared has results")
+    return rows.where(F.col(label).isin(*wanted))
+
+
 def base_of(labels: DataFrame, wanted: str, other: str, by: list[str]) -> DataFrame:
     """(by, base): the wanted label where a group has it, else the other, else null."""
     has = lambda label: F.max(F.when(F.col("label") == label, F.col("label")))

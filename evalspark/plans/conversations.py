@@ -301,8 +301,8 @@ ORACLES = {
     "paired_bootstrap": f"""
         WITH a AS (SELECT * FROM (WITH x AS (SELECT *, {_BUCKET} AS bucket FROM ({_scored()}) WHERE task IS NOT NULL AND rep IS NOT NULL) {_RATE_ROWS})), b AS (SELECT * FROM (WITH x AS (SELECT *, {_BUCKET} AS bucket FROM ({_scored("arg_max")}) WHERE task IS NOT NULL AND rep IS NOT NULL) {_RATE_ROWS})),
         s AS (SELECT a.task, a.rep, a.rate, sum(a.den) AS den, sum(a.hit) AS bh, sum(b.hit) AS nh FROM a JOIN b ON a.eval_id = b.eval_id AND a.rate = b.rate GROUP BY 1, 2, 3),
-        e AS (SELECT task, rep, row_number() OVER (ORDER BY task, rep) - 1 AS e FROM (SELECT DISTINCT task, rep FROM s)), n AS (SELECT count(*) AS n FROM e),
-        w AS (SELECT r, ('0x' || substr(md5(r || ':' || k), 1, 8))::bigint % n AS e, count(*) AS w FROM range(200) t(r), n, range((SELECT n FROM n)) u(k) GROUP BY ALL),
+        e AS (SELECT task, rep, row_number() OVER (ORDER BY md5('0:' || task || ':' || rep)) - 1 AS e FROM (SELECT DISTINCT task, rep FROM s)), n AS (SELECT count(*) AS n FROM e),
+        w AS (SELECT r, ('0x' || substr(md5(r || ':' || k), 1, 8))::bigint % n AS e, count(*) AS w FROM range(2000) t(r), n, range((SELECT n FROM n)) u(k) GROUP BY ALL),
         p AS (SELECT r, rate, sum(w * (nh - bh))::double / sum(w * den) AS delta FROM w JOIN e USING (e) JOIN s USING (task, rep) GROUP BY 1, 2 HAVING sum(w * den) > 0),
         q AS (SELECT rate, delta, row_number() OVER (PARTITION BY rate ORDER BY delta) - 1 AS rk, count(*) OVER (PARTITION BY rate) AS m FROM p),
         c AS (SELECT rate, max(delta) FILTER (rk = floor(0.025::double * m)) AS lo, max(delta) FILTER (rk = floor(0.975::double * m) - 1) AS hi FROM q GROUP BY 1)
