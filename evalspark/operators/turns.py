@@ -53,19 +53,25 @@ def decisions(episodes: DataFrame) -> DataFrame:
 
 
 def prior_calls(episodes: DataFrame) -> DataFrame:
-    """(episode_id, pos, prior): names of all calls before each decision, in order."""
+    """(episode_id, pos, prior): all calls (name, arguments) before each decision, in order."""
     return _calls_around(episodes, Window.unboundedPreceding, -1, "prior")
 
 
 def later_calls(episodes: DataFrame) -> DataFrame:
-    """(episode_id, pos, later): names of all calls the episode makes after each decision, in order."""
+    """(episode_id, pos, later): all calls (name, arguments) the episode makes after each decision, in order."""
     return _calls_around(episodes, 1, Window.unboundedFollowing, "later")
 
 
 def _calls_around(episodes: DataFrame, start: int, end: int, name: str) -> DataFrame:
-    rows = messages(episodes).where("role = 'assistant'").select("episode_id", "pos", call_names(F.col("tool_calls")).alias("names"))
+    made = F.transform(calls(F.col("tool_calls")), lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")))
+    rows = messages(episodes).where("role = 'assistant'").select("episode_id", "pos", made.alias("made"))
     frame = Window.partitionBy("episode_id").orderBy("pos").rowsBetween(start, end)
-    return rows.select("episode_id", "pos", F.flatten(F.collect_list("names").over(frame)).alias(name)).where("pos > 0")
+    return rows.select("episode_id", "pos", F.flatten(F.collect_list("made").over(frame)).alias(name)).where("pos > 0")
+
+
+def call_key(call: Column) -> Column:
+    """A call as one text: its name and its arguments, stripped and in lower case, for sets of calls."""
+    return F.concat_ws("\t", call["name"], F.lower(strip(F.coalesce(call["arguments"], F.lit("")))))
 
 
 def matched_results(episodes: DataFrame) -> DataFrame:
@@ -131,8 +137,45 @@ def rendered(tool_calls: Column, content: Column) -> Column:
     return F.when(F.size(calls(tool_calls)) > 0, F.array_join(F.transform(calls(tool_calls), block), "\n")).otherwise(strip(content))
 
 
+ROLES = ["system", "user", "assistant", "tool"]
+
+
 def turn_text(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(IM_START), role, F.lit("\n"), text, F.lit(f"{IM_END}\n"))
+    """A turn with its marks; a role that no template knows is an error."""
+    known = F.when(role.isin(*ROLES), role).otherwise(F.raise_error(F.concat(F.lit("no turn for role "), F.coalesce(role, F.lit("null")))).cast("string"))
+    return F.concat(F.lit(IM_START), known, F.lit("\n"), text, F.lit(f"{IM_END}\n"))
+
+
+def prompt_states(episodes: DataFrame, system: str) -> DataFrame:
+    """(episode_id, pos, prompt): what the model sees before each decision: the system turn, all turns before, an open turn."""
+    turns = merged_turns(episodes).select("episode_id", "role", "first_pos", turn_text(F.col("role"), F.col("text")).alias("text"))
+    before = Window.partitionBy("episode_id").orderBy("first_pos").rowsBetween(Window.unboundedPreceding, -1)
+    told = turns.select("episode_id", "role", F.col("first_pos").alias("pos"), F.array_join(F.collect_list("text").over(before), "").alias("told"))
+    head = turn_text(F.lit("system"), F.lit(system))
+    return told.where("role = 'assistant' and pos > 0").select("episode_id", "pos", F.concat(head, "told", F.lit(f"{IM_START}assistant\n")).alias("prompt"))
+
+
+def histories(episodes: DataFrame) -> DataFrame:
+    """(episode_id, history): messages as (role, content, tool_calls), calls as (name, arguments), null where a turn makes none."""
+    short = lambda m: F.struct(
+        m["role"].alias("role"), m["content"].alias("content"),
+        F.when(F.size(calls(m["tool_calls"])) > 0, F.transform(calls(m["tool_calls"]), lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")))).alias("tool_calls"),
+    )
+    kept = F.filter("messages", lambda m: m.isNotNull())
+    return episodes.select("episode_id", F.transform(kept, short).alias("history"))
+
+
+def review_turn(role: Column, content: Column, tool_calls: Column, limit: int = 700) -> Column:
+    """A message as a reviewer reads it: tool output cut, calls with their arguments, who said what."""
+    said = F.coalesce(content, F.lit(""))
+    shown = F.when(F.length(said) > limit, F.concat(F.substring(said, 1, limit), F.lit(" …"))).otherwise(said)
+    call = lambda c: F.concat(F.lit("`"), F.coalesce(c["name"], F.lit("")), F.lit("("), F.coalesce(c["arguments"], F.lit("{}")), F.lit(")`"))
+    who = F.when(role == "assistant", "agent").otherwise("customer")
+    return (
+        F.when(role == "tool", F.concat(F.lit("> **tool output:** `"), shown, F.lit("`")))
+        .when(F.size(calls(tool_calls)) > 0, F.concat(F.lit("> **agent calls:** "), F.array_join(F.transform(calls(tool_calls), call), "; ")))
+        .otherwise(F.concat(F.lit("> **"), who, F.lit(":** "), F.replace(said, F.lit("\n"), F.lit("\n> "))))
+    )
 
 
 def transcripts(episodes: DataFrame) -> DataFrame:

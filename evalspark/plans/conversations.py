@@ -27,12 +27,12 @@ def decision_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prefix_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = turns.prior_calls(_episodes(spark, sf_dir))
-    return found.select("episode_id", "pos", F.array_join("prior", ",").alias("prior"))
+    return found.select("episode_id", "pos", F.size("prior").alias("n"), F.array_join(F.transform("prior", lambda c: c["name"]), ",").alias("prior"), F.md5(F.array_join(F.transform("prior", turns.call_key), "\n").cast("binary")).alias("hash"))
 
 
 def later_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = turns.later_calls(_episodes(spark, sf_dir))
-    return found.select("episode_id", "pos", F.array_join("later", ",").alias("later"))
+    return found.select("episode_id", "pos", F.size("later").alias("n"), F.array_join(F.transform("later", lambda c: c["name"]), ",").alias("later"), F.md5(F.array_join(F.transform("later", turns.call_key), "\n").cast("binary")).alias("hash"))
 
 
 def fifo_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def degenerate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def episode_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = turns.episode_stats(_episodes(spark, sf_dir), CATALOG, NATIVE)
-    return found.select("episode_id", "student_turns", "tool_calls", "distractor_calls", "hallucinated_calls", "degenerate_user_turn")
+    return found.drop("task_id", "rep")
 
 
 def token_limit_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +220,10 @@ _MESSAGES = "SELECT episode_id, task_id, rep, reward, i AS pos, messages[i + 1]
 _CALLS = "list_filter(coalesce(m.tool_calls, []), lambda c: c IS NOT NULL)"
 _NAMES = f"list_transform({_CALLS}, lambda c: c.name)"
 _TEXT = r"regexp_replace(coalesce(m.content, ''), '^\s+|\s+$', '', 'g')"
+_KEY = r"concat_ws(chr(9), c.name, lower(regexp_replace(coalesce(c.arguments, ''), '^\s+|\s+$', '', 'g')))"
+_AROUND = f"""
+        WITH w AS (SELECT episode_id, pos, flatten(list({_CALLS}) OVER (PARTITION BY episode_id ORDER BY pos ROWS BETWEEN {{frame}})) AS a FROM ({_MESSAGES}) WHERE m.role = 'assistant'), x AS (SELECT episode_id, pos, coalesce(a, []) AS a FROM w WHERE pos > 0)
+        SELECT episode_id, pos, len(a)::int AS n, array_to_string(list_filter(list_transform(a, lambda c: c.name), lambda n: n IS NOT NULL), ',') AS {{name}}, md5(array_to_string(list_transform(a, lambda c: {_KEY}), chr(10))) AS hash FROM x"""
 _BLOCKS = f"array_to_string(list_transform({_CALLS}, lambda c: '<tool_call>' || chr(10) || '{{\"name\": \"' || coalesce(c.name, '') || '\", \"arguments\": ' || coalesce(c.arguments, '{{}}') || '}}' || chr(10) || '</tool_call>'), chr(10))"
 _TURNS = f"""
     SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY first_pos) AS turn, first_pos, role, n_messages, body FROM (
@@ -228,6 +232,7 @@ _TURNS = f"""
                 CASE WHEN m.role = 'tool' THEN '<tool_response>' || chr(10) || coalesce(m.content, '') || chr(10) || '</tool_response>' WHEN len({_CALLS}) > 0 THEN {_BLOCKS} ELSE {_TEXT} END AS body
             FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY pos) AS ord FROM ({_MESSAGES})))
         GROUP BY episode_id, role, run)"""
+_SAID = """count(*) FILTER (regexp_matches(coalesce(m.raw_data, ''), '(?i)[''"]{0}[''"]: *(?:true|[''"][^''"])'))"""
 _CATALOG = "[" + ", ".join(f"'{n}'" for n in CATALOG) + "]"
 _NATIVE = "[" + ", ".join(f"'{n}'" for n in NATIVE) + "]"
 _SOURCE = r"nullif(regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g'), '')"
@@ -265,8 +270,8 @@ ORACLES = {
             SELECT episode_id, pos, m.role AS role, CASE WHEN len({_CALLS}) > 0 THEN 'tool_call' WHEN {_TEXT} <> '' THEN 'reply' END AS kind, {_NAMES} AS names, count(*) OVER w AS n_before,
                 coalesce(sum(CASE WHEN m.role = 'assistant' THEN len({_CALLS}) END) OVER w, 0)::bigint AS calls_before, coalesce(sum(length(coalesce(m.content, ''))) OVER w, 0)::bigint AS chars_before
             FROM ({_MESSAGES}) WINDOW w AS (PARTITION BY episode_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE role = 'assistant' AND pos > 0""",
-    "prefix_calls": f"SELECT * FROM (SELECT episode_id, pos, coalesce(string_agg(nullif(array_to_string({_NAMES}, ','), ''), ',') OVER (PARTITION BY episode_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prior FROM ({_MESSAGES}) WHERE m.role = 'assistant') WHERE pos > 0",
-    "later_lookahead": f"SELECT * FROM (SELECT episode_id, pos, coalesce(string_agg(nullif(array_to_string({_NAMES}, ','), ''), ',') OVER (PARTITION BY episode_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS later FROM ({_MESSAGES}) WHERE m.role = 'assistant') WHERE pos > 0",
+    "prefix_calls": _AROUND.format(frame="UNBOUNDED PRECEDING AND 1 PRECEDING", name="prior"),
+    "later_lookahead": _AROUND.format(frame="1 FOLLOWING AND UNBOUNDED FOLLOWING", name="later"),
     "fifo_match": f"""
         WITH c AS (SELECT episode_id, pos AS call_pos, c.name AS call_name, row_number() OVER (PARTITION BY episode_id ORDER BY pos, j) AS ordinal FROM (SELECT episode_id, pos, j, ({_CALLS})[j] AS c FROM ({_MESSAGES}), unnest(range(1, len({_CALLS}) + 1)) AS u(j) WHERE m.role = 'assistant')),
         r AS (SELECT episode_id, pos AS result_pos, coalesce(lower(m.error) = 'true', false) AS is_error, row_number() OVER (PARTITION BY episode_id ORDER BY pos) AS ordinal FROM ({_MESSAGES}) WHERE m.role = 'tool')
@@ -282,9 +287,9 @@ ORACLES = {
         SELECT episode_id, turn, piece, train, e - c AS start, e AS "end" FROM r""",
     "degenerate_filter": f"SELECT DISTINCT episode_id FROM ({_MESSAGES}) WHERE m.role = 'user' AND length(coalesce(m.content, '')) > 20000",
     "episode_diagnostics": f"""
-        WITH x AS (SELECT * FROM ({_MESSAGES})), s AS (SELECT episode_id, count(*) AS turns, sum(len({_CALLS})) AS calls, sum(len(list_filter({_NAMES}, lambda n: list_contains({_CATALOG}, n) AND NOT list_contains({_NATIVE}, n)))) AS d, sum(len(list_filter({_NAMES}, lambda n: n IS NOT NULL AND NOT list_contains({_CATALOG}, n)))) AS h FROM x WHERE m.role = 'assistant' AND pos > 0 GROUP BY 1),
+        WITH x AS (SELECT * FROM ({_MESSAGES})), s AS (SELECT episode_id, count(*) AS turns, sum(len({_CALLS})) AS calls, {_SAID.format("escalated")} AS se, {_SAID.format("parse_error")} AS sp, {_SAID.format("context_overflow")} AS so, sum(len(list_filter({_NAMES}, lambda n: list_contains({_CATALOG}, n) AND NOT list_contains({_NATIVE}, n)))) AS d, sum(len(list_filter({_NAMES}, lambda n: n IS NOT NULL AND NOT list_contains({_CATALOG}, n)))) AS h FROM x WHERE m.role = 'assistant' AND pos > 0 GROUP BY 1),
         u AS (SELECT episode_id, bool_or(length(coalesce(m.content, '')) > 20000) AS g FROM x WHERE m.role = 'user' GROUP BY 1)
-        SELECT e.episode_id, coalesce(turns, 0) AS student_turns, coalesce(calls, 0)::bigint AS tool_calls, coalesce(d, 0)::bigint AS distractor_calls, coalesce(h, 0)::bigint AS hallucinated_calls, coalesce(g, false) AS degenerate_user_turn FROM episodes e LEFT JOIN s USING (episode_id) LEFT JOIN u USING (episode_id)""",
+        SELECT e.episode_id, coalesce(turns, 0) AS student_turns, coalesce(se, 0) AS escalated_turns, coalesce(calls, 0)::bigint AS tool_calls, coalesce(sp, 0) AS parse_errors, coalesce(so, 0) AS context_overflows, coalesce(d, 0)::bigint AS distractor_calls, coalesce(h, 0)::bigint AS hallucinated_calls, coalesce(g, false) AS degenerate_user_turn FROM episodes e LEFT JOIN s USING (episode_id) LEFT JOIN u USING (episode_id)""",
     "token_limit_hits": f"SELECT rep, count(*) FILTER (contains(coalesce(m.raw_data, ''), '''finish_reason'': ''length''') OR coalesce(m.\"usage\".completion_tokens, 0) >= 400) AS n_hit, count(*) AS n FROM ({_MESSAGES}) WHERE m.role = 'assistant' GROUP BY 1",
     "step_scores": f"SELECT eval_id, kind_match, coalesce(name_match, false) AS name_match, coalesce(normalized_match, false) AS normalized_match, coalesce(strict_match, false) AS strict_match, hallucinated_tool FROM ({_scored()})",
     "step_summary": f"""
