@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.joins import on_groups
 from evalspark.operators.catalogs import READ_ONLY
 from evalspark.operators.sampling import hash_place
+from evalspark.operators.scoring import BUCKETS, OUTSIDE
 
 IM_END = "<|im_end|>"
 # A fixed pattern: a reply that speaks of the customer in the third person, but not of "the user id" or "the user account".
@@ -23,9 +24,19 @@ def as_target(text: Column) -> Column:
     return F.concat(F.substring_index(text, IM_END, 1), F.lit(IM_END))
 
 
+def same_outcome(predicted: Column, reference: Column) -> Column:
+    """Whether two arrays of calls (name, key) do the same: the same changes in the same order, and the same things read.
+
+    The rule for logs without an environment to replay in; `canon.same_effect` takes one that there is.
+    """
+    changes = lambda calls: F.transform(F.filter(calls, lambda c: ~c["name"].rlike(READ_ONLY)), lambda c: c["key"])
+    reads = lambda calls: F.array_sort(F.array_distinct(F.transform(F.filter(calls, lambda c: c["name"].rlike(READ_ONLY)), lambda c: c["key"])))
+    return F.coalesce((F.size(predicted) > 0) & (F.size(reference) > 0) & (changes(predicted) == changes(reference)) & (reads(predicted) == reads(reference)), F.lit(False))
+
+
 def ordering_only(predicted_calls: Column, later_keys: Column) -> Column:
     """Whether every predicted call only reads and is made later anyway; calls have name and key (name and normal arguments)."""
-    return F.coalesce(F.forall(predicted_calls, lambda c: c["name"].rlike(READ_ONLY) & F.array_contains(later_keys, c["key"])), F.lit(False))
+    return F.coalesce((F.size(predicted_calls) > 0) & F.forall(predicted_calls, lambda c: c["name"].rlike(READ_ONLY) & F.array_contains(later_keys, c["key"])), F.lit(False))
 
 
 def verdict(bucket: Column, equivalent: Column, cut_off: Column, reasoning: Column, ordering: Column) -> Column:
@@ -43,6 +54,22 @@ def first_pairs(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return on_groups(rows, first, key).select(*rows.columns, (F.col(order) != F.col("_first")).alias("duplicate"))
 
 
+def pair_report(judged: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, n_pairs, call_disagreements, equivalent_share, pairs_<bucket>) of rows with outcome, bucket and both kinds.
+
+    A call disagreement is a call where a call was due that isn't the same one; the share is of those that had the
+    same effect nevertheless, at 4 places, null without any.
+    """
+    calls = (F.col("reference_kind") == "tool_call") & F.coalesce(F.col("predicted_kind") == "tool_call", F.lit(False)) & (F.col("outcome") != "agree")
+    pair = F.col("outcome") == "pair"
+    agg = judged.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(pair).alias("n_pairs"), F.count_if(calls).alias("call_disagreements"), F.count_if(F.col("outcome") == "equivalent").alias("_same"),
+        *(F.count_if(pair & (F.col("bucket") == b)).alias(f"pairs_{b}") for b in BUCKETS + OUTSIDE),
+    )
+    share = F.round(F.try_divide(F.col("_same").cast("double"), F.col("call_disagreements").cast("double")), 4)
+    return agg.withColumn("equivalent_share", share).drop("_same")
+
+
 def outcome_counts(judged: DataFrame, by: list[str]) -> DataFrame:
     """(by, outcome, n)."""
     return judged.groupBy(*by, "outcome").agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ OUTSIDE = ["malformed_output", "call_instead_of_reply"]
 
 
 def names_of(calls: Column) -> Column:
-    return F.transform(F.coalesce(calls, F.array().cast("array<struct<name:string,strict:string,normal:string>>")), lambda c: c["name"])
+    return F.coalesce(F.transform(calls, lambda c: c["name"]), F.array().cast("array<string>"))
 
 
 def score(df: DataFrame, catalog: list[str]) -> DataFrame:

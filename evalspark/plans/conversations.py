@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions import canon
@@ -15,6 +15,17 @@ from evalspark.plans.tables import table
 NATIVE = ["find_account_by_mail", "find_account_by_name", "get_account_card", "get_parcel_trace", "get_order_sheet", "list_open_orders", "list_item_variants", "swap_order_line", "stop_order", "start_return", "move_delivery", "set_default_address"]
 CATALOG = [*NATIVE, "add_goodwill_credit", "get_stock_level", "work_out", "hand_to_person"]
 
+# What the tools of the test data take; every argument is required but limit, reason, refund_to and address.
+SIGNATURES = """
+find_account_by_mail(mail) | find_account_by_name(given_name, family_name, postcode) | get_account_card(account_id) | get_parcel_trace(parcel_id) | get_order_sheet(order_id)
+list_open_orders(account_id, limit) | list_item_variants(item_id) | swap_order_line(order_id, old_item, new_item, reason) | stop_order(order_id, reason) | start_return(order_id, item_ids, refund_to)
+move_delivery(order_id, new_day, address) | set_default_address(account_id, address) | add_goodwill_credit(account_id, amount) | get_stock_level(item_id, depot) | work_out(formula) | hand_to_person(summary)
+"""
+ARGUMENT_TYPES = {"limit": "integer", "amount": "number", "item_ids": "array", "address": "object"}
+OPTIONAL = ["limit", "reason", "refund_to", "address"]
+TOOLS = {name: args.split(", ") for name, args in (s.strip(" )").split("(") for line in SIGNATURES.strip().splitlines() for s in line.split("|"))}
+SCHEMAS = {name: {"properties": {a: {"type": ARGUMENT_TYPES.get(a, "string")} for a in args}, "required": [a for a in args if a not in OPTIONAL]} for name, args in TOOLS.items()}
+
 
 def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "episodes").select("episode_id", "task_id", "rep", "temperature", "reward", "messages")
@@ -77,13 +88,13 @@ def scored_steps(spark: SparkSession, sf_dir: str, which: str = "first", canonic
     pick = F.min_by if which == "first" else F.max_by
     states = table(spark, sf_dir, "train_states").select(whole_number(F.col("task_id")).alias("task"), "state_id", "reference", "cut_off").where("task is not null and reference is not null")
     predicted = states.groupBy("task").agg(pick("reference", "state_id").alias("p"), pick("cut_off", "state_id").alias("cut_off"))
-    steps = table(spark, sf_dir, "eval_steps").select("eval_id", whole_number(F.col("task_id")).alias("task"), "rep", label(F.col("source")).alias("source"), F.col("reference").alias("r")).where("r is not null")
+    steps = table(spark, sf_dir, "eval_steps").select("eval_id", whole_number(F.col("task_id")).alias("task"), "rep", "step_index", label(F.col("source")).alias("source"), F.col("reference").alias("r")).where("r is not null")
     joined = steps.join(predicted, "task", "left")
     if canonical:
         args = canon.canonical_calls
     else:
-        args = lambda c: F.transform(c, lambda x: F.struct(x["name"].alias("name"), x["arguments"].alias("strict"), F.lower(strip(x["arguments"])).alias("normal")))
-    columns = joined.select("eval_id", "task", "rep", "source", "cut_off", F.col("r.kind").alias("reference_kind"), F.col("r.text").alias("reference_text"), args(F.col("r.calls")).alias("reference_calls"), F.col("p.kind").alias("predicted_kind"), args(F.col("p.calls")).alias("predicted_calls"))
+        args = lambda c: F.transform(c, lambda x: F.struct(x["name"].alias("name"), x["arguments"].alias("strict"), F.lower(strip(x["arguments"])).alias("normal"), x["arguments"].alias("arguments"), turns.call_key(x).alias("key")))
+    columns = joined.select("eval_id", "task", "rep", "step_index", "source", "cut_off", F.col("r.kind").alias("reference_kind"), F.col("r.text").alias("reference_text"), args(F.col("r.calls")).alias("reference_calls"), F.col("p.kind").alias("predicted_kind"), args(F.col("p.calls")).alias("predicted_calls"))
     scored = scoring.score(columns, CATALOG)
     return scored.withColumn("bucket", scoring.bucket())
 
@@ -125,17 +136,36 @@ def engine_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.same_texts(*sides, "step", "prompt")
 
 
-def pair_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each step's prediction amounts to, by source."""
+def judged_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored steps with what each prediction amounts to; later calls are those of the reference at later steps of the episode."""
     rows = scored_steps(spark, sf_dir)
+    placed = F.col("task").isNotNull() & F.col("rep").isNotNull() & F.col("step_index").isNotNull()
+    keys = F.coalesce(F.transform("reference_calls", lambda c: c["key"]), F.array().cast("array<string>"))
+    after = Window.partitionBy("task", "rep").orderBy("step_index").rangeBetween(1, Window.unboundedFollowing)
+    later = rows.where(placed).withColumn("later", F.flatten(F.collect_list(keys).over(after)))
+    rows = later.unionByName(rows.where(~placed).withColumn("later", F.array().cast("array<string>")))
     reasoning = (F.col("reference_kind") == "reply") & pairs.teacher_reasoning(F.col("reference_text"))
-    judged = rows.select("source", pairs.verdict(F.col("bucket"), F.lit(False), F.col("cut_off"), reasoning, F.lit(False)).alias("outcome"))
-    return pairs.outcome_counts(judged, ["source"])
+    equivalent = pairs.same_outcome(F.col("predicted_calls"), F.col("reference_calls"))
+    ordering = (F.col("reference_kind") == "tool_call") & pairs.ordering_only(F.col("predicted_calls"), F.col("later"))
+    return rows.withColumn("outcome", pairs.verdict(F.col("bucket"), equivalent, F.col("cut_off"), reasoning, ordering))
+
+
+def pair_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step's prediction amounts to, by source."""
+    return pairs.outcome_counts(judged_steps(spark, sf_dir), ["source"])
+
+
+def pair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of each bucket, disagreements of calls and how many of these had the same effect, by source."""
+    return pairs.pair_report(judged_steps(spark, sf_dir), ["source"])
 
 
 def step_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gated reward of each step's prediction against the schemas of all tools."""
     rows = scored_steps(spark, sf_dir)
-    total = reward.step_reward(F.col("reference_kind"), F.col("predicted_kind"), ~F.col("hallucinated_tool"), F.col("name_match"), ~F.exists("predicted_calls", lambda c: c["strict"].isNull()), F.col("normalized_match"))
+    fit = canon.calls_check(SCHEMAS)(F.col("predicted_calls"))
+    effect = F.col("normalized_match") | pairs.same_outcome(F.col("predicted_calls"), F.col("reference_calls"))
+    total = reward.step_reward(F.col("reference_kind"), F.col("predicted_kind"), ~F.col("hallucinated_tool"), F.col("name_match"), fit, effect)
     return rows.select("eval_id", F.round(total, 6).alias("reward"))
 
 
@@ -160,11 +190,9 @@ def completion_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def argument_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of known tools by whether their arguments are of the declared form."""
-    text = {"type": "string"}
-    schemas = {"find_account_by_mail": {"properties": {"mail": text}, "required": ["mail"]}, "get_order_sheet": {"properties": {"order_id": text}, "required": ["order_id"]}, "list_open_orders": {"properties": {"account_id": text, "limit": {"type": "integer"}}, "required": ["account_id"]}}
-    rows = turns.messages(_episodes(spark, sf_dir)).select(F.explode(turns.calls(F.col("tool_calls"))).alias("c")).where(F.col("c.name").isin(*schemas))
-    checked = rows.select("c.name", canon.schema_check(schemas)(F.col("c.name"), F.col("c.arguments")).alias("fits"))
+    """Calls of all tools by whether their arguments are of the declared form; tools without a schema have neither."""
+    rows = turns.messages(_episodes(spark, sf_dir)).select(F.explode(turns.calls(F.col("tool_calls"))).alias("c"))
+    checked = rows.select("c.name", canon.schema_check(SCHEMAS)(F.col("c.name"), F.col("c.arguments")).alias("fits"))
     return checked.groupBy("name").agg(F.count_if("fits").alias("n_fit"), F.count_if(~F.col("fits")).alias("n_unfit"), F.count("*").alias("n"))
 
 
@@ -210,7 +238,7 @@ def neighbor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = [
     decision_steps, prefix_calls, later_lookahead, fifo_match, merged_turn_islands, prompt_hash, segment_spans, degenerate_filter, episode_diagnostics, token_limit_hits, step_scores, step_scores_json,
-    step_summary, macro_micro_agreement, bucket_table, paired_bootstrap, engine_check, pair_outcomes, step_rewards, teacher_reasoning, completions_parsed, completion_kinds, argument_schemas,
+    step_summary, macro_micro_agreement, bucket_table, paired_bootstrap, engine_check, pair_outcomes, pair_report, step_rewards, teacher_reasoning, completions_parsed, completion_kinds, argument_schemas,
     data_card_tools, data_card_counts, episodes_per_task, by_temperature, tasks_without_success, name_stems, neighbor_topk,
 ]
 QUERIES = {f.__name__: f for f in ALL}
@@ -239,6 +267,12 @@ _SOURCE = r"nullif(regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g'), '')"
 _FORM = r"list_transform(coalesce({0}.calls, []), lambda c: {{'n': c.name, 'a': lower(regexp_replace(c.arguments, '^\s+|\s+$', '', 'g'))}})"
 
 
+_TYPED = {"string": "= 'VARCHAR'", "integer": "IN ('BIGINT', 'UBIGINT', 'HUGEINT')", "number": "IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE')", "array": "= 'ARRAY'", "object": "= 'OBJECT'"}
+# An object `a` of a tool `n`: no key that isn't declared, all required ones, each value of its type.
+_FITS = "CASE " + " ".join(f"""WHEN n = '{n}' THEN len(list_filter(json_keys(a), lambda k: k NOT IN ({", ".join(f"'{p}'" for p in s["properties"])}))) = 0{"".join(f" AND json_exists(a, '$.{r}')" for r in s["required"])}{"".join(f" AND (NOT json_exists(a, '$.{p}') OR json_type(a, '$.{p}') {_TYPED[t['type']]})" for p, t in s["properties"].items())}""" for n, s in SCHEMAS.items()) + " END"
+_OBJECT = "SELECT * EXCLUDE (a), CASE WHEN json_type(a) = 'OBJECT' THEN a END AS a FROM (SELECT * EXCLUDE (a), CASE WHEN json_type(a) = 'VARCHAR' THEN try_cast(a->>'$' AS json) ELSE a END AS a FROM (SELECT *, try_cast(CASE WHEN t = '' THEN '{{}}' ELSE coalesce(t, '{{}}') END AS json) AS a FROM ({0})))"
+
+
 def _scored(pick: str = "arg_min") -> str:
     both = "(coalesce(r.kind = 'tool_call', false) AND coalesce(p.kind = 'tool_call', false))"
     return f"""
@@ -246,8 +280,8 @@ def _scored(pick: str = "arg_min") -> str:
             {both} AND list_transform(r.calls, lambda c: c.name) = list_transform(p.calls, lambda c: c.name) AS name_match,
             {both} AND {_FORM.format("r")} = {_FORM.format("p")} AS normalized_match, {both} AND r.calls = p.calls AS strict_match,
             coalesce(p.kind = 'tool_call', false) AND len(list_filter(p.calls, lambda c: NOT list_contains({_CATALOG}, c.name))) > 0 AS hallucinated_tool,
-            list_transform(coalesce(r.calls, []), lambda c: c.name) AS rt, list_transform(coalesce(p.calls, []), lambda c: c.name) AS pt
-        FROM (SELECT eval_id, {_TASK} AS task, rep, {_SOURCE} AS source, reference AS r FROM eval_steps WHERE reference IS NOT NULL) s
+            step_index, r.calls AS rc, p.calls AS pc, list_transform(coalesce(r.calls, []), lambda c: c.name) AS rt, list_transform(coalesce(p.calls, []), lambda c: c.name) AS pt
+        FROM (SELECT eval_id, {_TASK} AS task, rep, step_index, {_SOURCE} AS source, reference AS r FROM eval_steps WHERE reference IS NOT NULL) s
         LEFT JOIN (SELECT {_TASK} AS task, {pick}(reference, state_id) AS p, {pick}(cut_off, state_id) AS cut_off FROM train_states WHERE reference IS NOT NULL GROUP BY 1) q ON s.task = q.task"""
 
 
@@ -263,6 +297,14 @@ _RATES = [("step_agreement", "rk = 'tool_call'", "normalized_match"), ("tool_nam
 _RATES += [(b, "rk = 'tool_call'", f"coalesce(bucket = '{b}', false)") for b in scoring.BUCKETS] + [("call_instead_of_reply", "rk = 'reply'", "coalesce(bucket = 'call_instead_of_reply', false)"), ("malformed_output", "true", "coalesce(bucket = 'malformed_output', false)")]
 _RATE_ROWS = " UNION ALL ".join(f"SELECT task, rep, eval_id, '{n}' AS rate, ({c})::int AS den, (({c}) AND ({h}))::int AS hit FROM x" for n, c, h in _RATES)
 _REASONING = r"regexp_matches(regexp_replace({0}, '(?i)\bthe user(''s|’s)?\s*(id|account)\b', '', 'g'), '(?i)\bthe user(''s|’s)?\b')"
+_KEYS = r"list_transform(coalesce({0}, []), lambda c: concat_ws(chr(9), c.name, lower(regexp_replace(coalesce(c.arguments, ''), '^\s+|\s+$', '', 'g'))))"
+_READS, _CHANGES = (f"list_filter({_KEYS}, lambda k: {no} regexp_matches(k, '^(get_|find_|list_)'))" for no in ("", "NOT"))
+_SAME = f"(len(coalesce(pc, [])) > 0 AND len(coalesce(rc, [])) > 0 AND {_CHANGES.format('pc')} = {_CHANGES.format('rc')} AND list_sort(list_distinct({_READS.format('pc')})) = list_sort(list_distinct({_READS.format('rc')})))"
+_LATER = f"flatten(list({_KEYS.format('rc')}) OVER (PARTITION BY task, rep ORDER BY step_index RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"
+_JUDGED = f"""
+        SELECT *, CASE WHEN bucket IS NULL THEN 'agree' WHEN {_SAME} THEN 'equivalent' WHEN cut_off THEN 'teacher_cut_off' WHEN rk = 'reply' AND coalesce({_REASONING.format("text")}, false) THEN 'teacher_reasoning'
+            WHEN rk = 'tool_call' AND len(coalesce(pc, [])) > 0 AND len({_CHANGES.format('pc')}) = 0 AND list_has_all(CASE WHEN task IS NULL OR rep IS NULL OR step_index IS NULL THEN [] ELSE coalesce(later, []) END, {_KEYS.format('pc')}) THEN 'ordering_only' ELSE 'pair' END AS outcome
+        FROM (SELECT *, {_BUCKET} AS bucket, {_LATER} AS later FROM ({_scored()}))"""
 
 ORACLES = {
     "decision_steps": f"""
@@ -317,11 +359,14 @@ ORACLES = {
         j AS (SELECT a.s AS x, b.s AS y, regexp_replace(p, '^\s+|\s+$', '', 'g') AS p, regexp_replace(q, '^\s+|\s+$', '', 'g') AS q FROM a FULL OUTER JOIN b ON a.s = b.s),
         c AS (SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_common, count(*) FILTER (y IS NULL) AS only_in_first, count(*) FILTER (x IS NULL) AS only_in_second, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL AND p IS NOT DISTINCT FROM q) AS n_same FROM j)
         SELECT *, n_same::double / nullif(n_common, 0) >= 0.95 AS passes FROM c""",
-    "pair_outcomes": f"""
-        WITH x AS (SELECT *, {_BUCKET} AS bucket FROM ({_scored()}))
-        SELECT source, CASE WHEN bucket IS NULL THEN 'agree' WHEN cut_off THEN 'teacher_cut_off' WHEN rk = 'reply' AND coalesce({_REASONING.format("text")}, false) THEN 'teacher_reasoning' ELSE 'pair' END AS outcome, count(*) AS n FROM x GROUP BY 1, 2""",
+    "pair_outcomes": f"SELECT source, outcome, count(*) AS n FROM ({_JUDGED}) GROUP BY 1, 2",
+    "pair_report": f"""
+        SELECT source, count(*) AS n, count(*) FILTER (outcome = 'pair') AS n_pairs, count(*) FILTER (rk = 'tool_call' AND pk = 'tool_call' AND outcome <> 'agree') AS call_disagreements,
+            round(count(*) FILTER (outcome = 'equivalent')::double / nullif(count(*) FILTER (rk = 'tool_call' AND pk = 'tool_call' AND outcome <> 'agree'), 0), 4) AS equivalent_share, {", ".join(f"count(*) FILTER (outcome = 'pair' AND bucket = '{b}') AS pairs_{b}" for b in scoring.BUCKETS + scoring.OUTSIDE)} FROM ({_JUDGED}) GROUP BY 1""",
     "step_rewards": f"""
-        SELECT eval_id, round(CASE WHEN pk IS NULL THEN 0 WHEN rk = 'tool_call' AND pk = 'tool_call' THEN CASE WHEN hallucinated_tool THEN 0 ELSE 0.2::double + 0.2::double * (name_match OR normalized_match)::int + 0.6::double * normalized_match::int END WHEN rk = 'reply' AND pk = 'reply' THEN 1 ELSE 0 END, 6) AS reward FROM ({_scored()})""",
+        WITH s AS (SELECT *, normalized_match OR {_SAME} AS effect FROM ({_scored()})), c AS (SELECT eval_id, u.c.name AS n, u.c.arguments AS t FROM (SELECT eval_id, unnest(coalesce(pc, [])) AS c FROM s) u), f AS (SELECT eval_id, bool_and(coalesce({_FITS}, false)) AS fit FROM ({_OBJECT.format("FROM c")}) GROUP BY 1)
+        SELECT s.eval_id, round(CASE WHEN pk IS NULL THEN 0 WHEN rk = 'tool_call' AND pk = 'tool_call' THEN CASE WHEN hallucinated_tool THEN 0 ELSE 0.1::double + 0.1::double * coalesce(fit, true)::int + 0.2::double * (name_match OR (coalesce(fit, true) AND effect))::int + 0.6::double * (coalesce(fit, true) AND effect)::int END WHEN rk = 'reply' AND pk = 'reply' THEN 1 ELSE 0 END, 6) AS reward FROM s LEFT JOIN f ON s.eval_id = f.eval_id""",
+    "argument_schemas": f"SELECT n AS name, count(*) FILTER (f) AS n_fit, count(*) FILTER (NOT f) AS n_unfit, count(*) AS n FROM (SELECT n, {_FITS} AS f FROM ({_OBJECT.format(f'SELECT c.name AS n, c.arguments AS t FROM (SELECT unnest({_CALLS}) AS c FROM ({_MESSAGES}))')})) GROUP BY 1",
     "teacher_reasoning": f"SELECT {_SOURCE} AS source, count(*) FILTER ({_REASONING.format('reference.text')}) AS n_reasoning, count(reference.text) AS n_text FROM train_states GROUP BY 1",
     "completion_kinds": r"""
         WITH b AS (SELECT string_split(text, '<|im_end|>')[1] AS b FROM documents WHERE text IS NOT NULL), n AS (SELECT b, len(regexp_extract_all(b, '(?s)<tool_call>(.*?)</tool_call>', 1)) AS k FROM b)
