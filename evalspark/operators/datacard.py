@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import whole_number
-from evalspark.operators import turns
+from evalspark.operators import stats, turns
 
 
 def successful(episodes: DataFrame) -> DataFrame:
@@ -45,3 +45,10 @@ def tool_results(episodes: DataFrame) -> DataFrame:
     """One row: tool results, errors among them, and their lengths."""
     rows = turns.messages(episodes).where("role = 'tool'").select((F.lower("error") == "true").alias("bad"), F.length(F.coalesce("content", F.lit(""))).alias("chars"))
     return rows.agg(F.count("*").alias("n_results"), F.count_if("bad").alias("n_errors"), F.sum("chars").alias("chars"), F.max("chars").alias("longest"))
+
+
+def sizes(rows: DataFrame, by: str, tokens: str) -> DataFrame:
+    """(by, n, mean, p50, p95, max, over_<limit>): mean at 1 place, shares over the limits at 3."""
+    found = stats.length_summary(rows, [by], tokens)
+    over = [c for c in found.columns if c.startswith("over_")]
+    return found.select(by, "n", F.round("mean", 1).alias("mean"), "p50", "p95", "max", *(F.round(c, 3).alias(c) for c in over))

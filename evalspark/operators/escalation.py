@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.running import running_totals
+from evalspark.operators.steps import token_number
 
 
 def signal(kind: Column, name_confidence: Column, step_confidence: Column, which: str) -> Column:
@@ -66,9 +67,65 @@ def call_probability(alternatives: Column, token: int) -> Column:
     return F.when(F.size(alternatives) > 0, F.struct(F.exp(F.when(there, own[0]["lp"]).otherwise(lowest)).alias("p"), (~there).alias("bounded")))
 
 
+def as_long(values: Column, other: Column, said: str) -> Column:
+    """`values`, refused if the other array isn't as long."""
+    return F.when(F.size(values) == F.size(other), values).otherwise(F.raise_error(F.concat_ws(" ", F.lit(said), F.size(values).cast("string"), F.size(other).cast("string"))).cast("array<int>"))
+
+
 def emitted_logprobs(ids: Column, tables: Column) -> Column:
-    """The log-probability of each emitted token, looked up by its id in the position's table."""
-    return F.transform(F.arrays_zip(ids.alias("i"), tables.alias("t")), lambda x: F.try_element_at(x["t"], x["i"]))
+    """The log-probability of each emitted token, looked up by its id in the position's table; unequal lengths are an error."""
+    zipped = F.arrays_zip(as_long(ids, tables, "unequal numbers of tokens and tables:").alias("i"), tables.alias("t"))
+    return F.transform(zipped, lambda x: F.try_element_at(x["t"], x["i"]))
+
+
+def step_confidence(kind: Column, called: Column, spans: Column, logprobs: Column, starts: Column, ends: Column, alternatives: Column, call_token: int) -> Column:
+    """The confidence of a generated turn: (kind, name_confidence, name_tokens, p_call, bounded, step_confidence).
+
+    kind and called are the completion's as parsed, spans (name, start, end) where its names stand, tokens have a
+    log-probability, a start and an end, alternatives are the (id, lp) at the first place, null or empty if they
+    weren't recorded. A call is as sure as its least sure name and as the call itself; a reply is as sure as no
+    call. What didn't parse, names that don't stand where they were parsed and names without a token are unparsed.
+    """
+    tokens = F.arrays_zip(logprobs.alias("p"), starts.alias("s"), ends.alias("e"))
+    over = lambda span: F.filter(tokens, lambda t: (t["s"] < span["end"]) & (t["e"] > span["start"]))
+    mean = lambda span: F.try_divide(F.aggregate(over(span), F.lit(0.0), lambda x, t: x + t["p"]), F.size(over(span)).cast("double"))
+    means = F.transform(spans, mean)
+    there = (F.size(spans) > 0) & (F.transform(spans, lambda s: s["name"]) == called) & ~F.exists(means, lambda m: m.isNull())
+    sure = F.when((kind == "reply") | ((kind == "tool_call") & there), kind).otherwise("unparsed")
+    parsed = sure != "unparsed"
+    call = call_probability(alternatives, call_token)
+    names = F.when(sure == "tool_call", F.exp(F.array_min(means)))
+    counted = F.when(sure == "tool_call", F.aggregate(F.transform(spans, lambda s: F.size(over(s))), F.lit(0), lambda x, n: x + n)).otherwise(0)
+    p = F.when(parsed, call["p"])
+    step = F.when(sure == "reply", 1 - p).when((sure == "tool_call") & p.isNotNull(), F.least(p, names))
+    return F.struct(sure.alias("kind"), names.alias("name_confidence"), counted.alias("name_tokens"), p.alias("p_call"), F.coalesce(parsed & call["bounded"], F.lit(False)).alias("bounded"), step.alias("step_confidence"))
+
+
+RESPONSE = "struct<choices:array<struct<text:string,logprobs:struct<tokens:array<string>,token_logprobs:array<double>,top_logprobs:array<map<string,double>>>>>>"
+
+
+def response_scores(body: Column) -> Column:
+    """(text, token_ids, token_logprobs, first) of a served response; another number of choices or unequal lengths are an error."""
+    choices = F.from_json(body, RESPONSE)["choices"]
+    said = F.concat(F.lit("one completion expected, not "), F.coalesce(F.size(choices), F.lit(0)).cast("string"))
+    choice = F.when(F.size(choices) == 1, choices[0]).otherwise(F.raise_error(said).cast(RESPONSE[len("struct<choices:array<") : -2]))
+    scored = choice["logprobs"]
+    none = F.array().cast("array<string>")
+    tokens, values = F.coalesce(scored["tokens"], none), F.coalesce(scored["token_logprobs"], F.array().cast("array<double>"))
+    ids = F.transform(tokens, token_number)
+    first = F.transform(F.map_entries(F.coalesce(F.get(scored["top_logprobs"], 0), F.create_map().cast("map<string,double>"))), lambda e: F.struct(token_number(e["key"]).alias("id"), e["value"].alias("lp")))
+    return F.struct(F.coalesce(choice["text"], F.lit("")).alias("text"), as_long(ids, values, "unequal numbers of tokens and log-probabilities:").alias("token_ids"), values.alias("token_logprobs"), first.alias("first"))
+
+
+def measured(scored: DataFrame, confidences: DataFrame, key: str) -> DataFrame:
+    """Scored steps that have a confidence; those without are left out silently, as a run may measure a part only."""
+    return scored.join(confidences, key)
+
+
+def routed(threshold: float, present: Column, confidence: Column, completion: Column) -> Column:
+    """What is kept of a routed turn, escalated or not, so that the decision can be checked afterwards."""
+    reason = route(present, confidence, threshold)
+    return F.struct((reason != "confident").alias("escalated"), reason.alias("route_reason"), F.lit(threshold).alias("threshold"), confidence.alias("step_confidence"), completion.alias("student_completion"))
 
 
 def best_alternatives(alternatives: Column, k: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ def stray(rows: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     return rows.select(key).exceptAll(rows.select(key).join(allowed.select(key), key, "left_semi")).distinct()
 
 
+def empty_sides(sides: dict[str, DataFrame]) -> DataFrame:
+    """(rule, n): 1 for each side without a row; a check of disjoint splits says nothing about an empty one."""
+    counted = [df.limit(1).agg(F.count("*").alias("_n")).select(F.lit(f"{name} is empty").alias("rule"), (1 - F.col("_n")).alias("n")) for name, df in sides.items()]
+    return functools.reduce(DataFrame.unionByName, counted)
+
+
 def complete_join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """The inner join, in which a left row without partner is an error when the rows are read."""
     marked = right.withColumn("_there", F.lit(True))

@@ -22,9 +22,31 @@ def across_repeats(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFr
     return stacked.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
 
 
-def first_text_time(chunks: DataFrame, request: str, at: str, text: str) -> DataFrame:
-    """(request, ttft, n_chunks): when the first chunk with text came."""
-    return chunks.groupBy(request).agg(F.min(F.when(F.col(text) != "", F.col(at))).alias("ttft"), F.count("*").alias("n_chunks"))
+def served_levels(requests: DataFrame, by: list[str], latency: str, first: str, tokens: str, ok: str, wall: str) -> DataFrame:
+    """(by, requests, errors, p50, p99, ttft_p50, ttft_p99, per_second, tokens_per_second) of a load level.
+
+    Percentiles are over the requests that succeeded; a request without any text has no time to first token and
+    doesn't count there. The level's wall time is the largest of its rows'.
+    """
+    good = F.col(ok)
+    at = lambda q, c: F.expr(f"percentile_disc({q}) within group (order by case when `{ok}` then `{c}` end)")
+    per_wall = lambda c: F.try_divide(c.cast("double"), F.max(wall).cast("double"))
+    return requests.groupBy(*by).agg(
+        F.count("*").alias("requests"), F.count_if(~good).alias("errors"), at(0.5, latency).alias("p50"), at(0.99, latency).alias("p99"), at(0.5, first).alias("ttft_p50"), at(0.99, first).alias("ttft_p99"),
+        F.round(per_wall(F.count_if(good)), 3).alias("per_second"), F.round(per_wall(F.sum(F.when(good, F.col(tokens)))), 1).alias("tokens_per_second"),
+    )
+
+
+def streamed(chunks: DataFrame, request: str, at: str, text: str, usage: str) -> DataFrame:
+    """(request, ttft, latency, completion_tokens, n_chunks) of captured streams.
+
+    ttft is when the first chunk with text came, null if none did; tokens are what the last chunk with a usage
+    says. A stream without one is an error.
+    """
+    agg = chunks.groupBy(request).agg(F.min(F.when(F.col(text) != "", F.col(at))).alias("ttft"), F.max(at).alias("latency"), F.max_by(usage, F.when(F.col(usage).isNotNull(), F.col(at))).alias("_usage"), F.count("*").alias("n_chunks"))
+    said = F.concat(F.lit("no usage in the stream of "), F.col(request).cast("string"))
+    tokens = F.coalesce(F.col("_usage").cast("int"), F.raise_error(said).cast("int"))
+    return agg.select(request, "ttft", "latency", tokens.alias("completion_tokens"), "n_chunks")
 
 
 def modelled(text: Column) -> Column:

@@ -85,6 +85,16 @@ def calls_per_minute(tokens_per_minute: Column, average: Column, requests_per_mi
     return F.least(F.try_divide(tokens_per_minute.cast("double"), average.cast("double")), requests_per_minute.cast("double"))
 
 
+def episodes_per_day(requests_per_day: Column, steps_per_episode: int = 8) -> Column:
+    """What a daily request cap permits; null is no cap."""
+    return requests_per_day.cast("double") / steps_per_episode
+
+
+def worst_case(max_turns: Column) -> Column:
+    """The most requests an episode can need: two a turn, one judgement and its repetition."""
+    return max_turns * 2 + 2
+
+
 def affordable(wanted: Column, remaining: Column, cost: Column) -> Column:
     """Whole episodes that a quota still pays for; a null quota pays for all."""
     return F.least(wanted, F.when(cost > 0, F.floor(remaining / cost)))

@@ -46,7 +46,11 @@ def nested_subset(rows: DataFrame, key: str, fraction: float, seed: int | str =
 
 
 def deal(rows: DataFrame, key: str, sizes: list[int], seed: int | str = 0) -> DataFrame:
-    """(key, block) of disjoint blocks of the given sizes, from 0."""
+    """(key, block) of disjoint blocks of the given sizes, from 0; too few distinct keys are refused when the rows are read."""
+    distinct = rows.agg(F.countDistinct(key).alias("_n"))
+    said = F.concat(F.lit(f"the blocks need {sum(sizes)} keys, there are "), F.col("_n").cast("string"))
+    enough = F.when(F.col("_n") >= sum(sizes), True).otherwise(F.raise_error(said).cast("boolean"))
+    rows = rows.join(F.broadcast(distinct)).where(enough).select(rows.columns)  # one row
     ends = [sum(sizes[: i + 1]) for i in range(len(sizes))]
     dealt = permuted(rows.select(key).distinct(), key, seed).where(F.col("ordinal") <= sum(sizes))
     block = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("ordinal")))
@@ -83,6 +87,24 @@ def evenly(rows: DataFrame, order: str, n: int) -> DataFrame:
     return kept.select(rows.columns)
 
 
+def epoch_order(slots: DataFrame, slot: str, items: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """(slot, epoch, place, key): the item each slot takes when every pass goes through all items in an order of its own.
+
+    The order of a pass is by the hash of seed plus pass and key. Slots are taken by their place in the pass, items
+    by theirs, which is counted for the passes that occur; passes x items rows, as many as the slots they fill.
+    """
+    n = items.select(key).distinct().agg(F.count("*").alias("_n"))
+    placed = slots.join(F.broadcast(n)).where("_n > 0").select(slot, F.floor(F.col(slot) / F.col("_n")).alias("epoch"), F.pmod(F.col(slot), F.col("_n")).alias("place"))  # n is one row
+    last = placed.agg(F.min("epoch").alias("_from"), F.max("epoch").alias("_to"))
+    passes = items.select(key).distinct().join(F.broadcast(last)).where("_to is not null").select(key, F.explode(F.sequence("_from", "_to")).alias("epoch"))
+    hashed = passes.withColumn("_hash", F.md5(F.concat_ws(":", (F.col("epoch") + seed).cast("string"), F.col(key).cast("string")).cast("binary"))).withColumn("_bucket", F.substring("_hash", 1, 3))
+    counts = hashed.groupBy("epoch", "_bucket").agg(F.count("*").alias("_m"))
+    below = counts.select("epoch", "_bucket", (F.sum("_m").over(Window.partitionBy("epoch").orderBy("_bucket")) - F.col("_m")).alias("_below"))  # 4096 rows a pass
+    inside = F.row_number().over(Window.partitionBy("epoch", "_bucket").orderBy("_hash", key)) - 1
+    ordered = hashed.withColumn("_inside", inside).join(below, ["epoch", "_bucket"]).select("epoch", (F.col("_below") + F.col("_inside")).alias("place"), key)
+    return placed.join(ordered, ["epoch", "place"]).select(slot, "epoch", "place", key)
+
+
 def epochal(slots: DataFrame, slot: str, size: int) -> DataFrame:
     """(slot, epoch, place): which pass over `size` items a slot belongs to, and its place in that pass."""
     return slots.select("*", F.floor(F.col(slot) / size).alias("epoch"), F.pmod(F.col(slot), F.lit(size)).alias("place"))

@@ -113,6 +113,17 @@ def length_summary(df: DataFrame, by: list[str], value: str, limits: tuple[int,
     return on_groups(agg, nearest_rank(df, by, value, {"p50": 50, "p95": 95}), by, "left")
 
 
+def token_counts(rows: DataFrame, text: str, counter=None, name: str = "tokens") -> DataFrame:
+    """`rows` with the tokens of a text: by a column function if there is one that counts them, else estimated."""
+    return rows.withColumn(name, counter(F.col(text)) if counter is not None else estimated_tokens(F.col(text)))
+
+
+def identity_rows(log: DataFrame, fingerprint: Column | str) -> DataFrame:
+    """Rows of one identity, or of all that begin with the given text, smoke runs left out."""
+    begins = F.lit(fingerprint) if isinstance(fingerprint, str) else fingerprint
+    return log.where(F.startswith(F.col("config_fingerprint"), begins) & ~F.coalesce("smoke", F.lit(False)))
+
+
 def estimated_tokens(text: Column) -> Column:
     """Characters over 3.5, rounded half to even."""
     return F.rint(F.length(text) / F.lit(3.5)).cast("bigint")

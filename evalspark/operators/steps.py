@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.joins import on_groups
 from evalspark.functions.text import strip
+from evalspark.operators.invariants import duplicates, require
 from evalspark.operators.scoring import BUCKETS, OUTSIDE
 from evalspark.operators.turns import IM_END, IM_START
 
@@ -36,7 +40,8 @@ def first_present(ordered: DataFrame, present: DataFrame, key: str, ordinal: str
 
 
 def pending_first(ordered: DataFrame, done: DataFrame, key: str, ordinal: str, n: int) -> DataFrame:
-    """The first n keys by ordinal that aren't done: limited, then filtered."""
+    """The first n keys by ordinal that aren't done: limited, then filtered. A key that is there twice is refused."""
+    require(duplicates(ordered, [key]), f"each {key} once")
     return ordered.orderBy(ordinal).limit(n).join(done.select(key).distinct(), key, "left_anti")
 
 
@@ -73,6 +78,12 @@ def served_turn(parsed: Column, completion: Column, overflow: Column, overflow_r
     return F.struct(content.alias("content"), calls.alias("calls"))
 
 
+def student_action(parsed: Column) -> Column:
+    """(kind, content, calls, error) of a parsed completion as a caller would execute it; unparsed has no action."""
+    kind = F.coalesce(parsed["kind"], F.lit("unparsed"))
+    return F.struct(kind.alias("kind"), F.when(kind == "reply", parsed["text"]).alias("content"), F.transform(parsed["calls"], lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments"))).alias("calls"), F.when(kind == "unparsed", parsed["error"]).alias("error"))
+
+
 def answered_by(escalated: Column, action: Column) -> Column:
     return F.when(~escalated, "student").when(action.isNotNull(), "teacher").otherwise("nobody")
 
@@ -104,8 +115,30 @@ def length_guard(rows: DataFrame, length: str, limit: int, aligned: str | None =
     return marked.where("_reason is null").drop("_reason"), marked.where("_reason is not null").groupBy(F.col("_reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
-def latest_by_step(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key in file order."""
+def longest_over(rows: DataFrame, key: str, length: str, limit: int, shown: int = 5) -> DataFrame:
+    """The longest rows over a limit, for a guard that refuses the whole set: it must be empty."""
+    return rows.where(F.col(length) > limit).select(key, length).orderBy(F.col(length).desc(), key).limit(shown)
+
+
+def options(items: Column) -> Column:
+    """`name=value` texts as a map; a text without name, sign or value is an error. Values may hold the sign."""
+    cut = lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substring(x, F.locate("=", x) + 1, F.length(x)).alias("v"))
+    good = lambda x: x.rlike(r"(?s)^[^=]+=.+$")
+    checked = F.transform(items, lambda x: F.when(good(x), cut(x)).otherwise(F.raise_error(F.concat(F.lit("NAME=VALUE expected, not "), x)).cast("struct<k:string,v:string>")))
+    return F.map_from_entries(checked)
+
+
+def parent_of(rows: DataFrame, registry: DataFrame, sha: str, name: str) -> DataFrame:
+    """`rows` with the first name that is registered for their hash, null for an unregistered one."""
+    first = registry.groupBy(sha).agg(F.min(name).alias("parent"))
+    return rows.join(first, sha, "left")
+
+
+def latest_by_step(rows: DataFrame, key: str, order: str, needed: str | None = None) -> DataFrame:
+    """The last row of each key in file order; a kept row without the needed column is an error."""
+    if needed is not None:
+        there = F.when(F.col(needed).isNotNull(), True).otherwise(F.raise_error(F.concat(F.lit(f"no {needed} in "), F.col(key).cast("string"))).cast("boolean"))
+        return latest_by_step(rows, key, order).where(there)
     fields = F.struct(*rows.columns)
     return rows.groupBy(key).agg(F.max_by(fields, order).alias("_r")).select("_r.*")
 
@@ -149,3 +182,38 @@ def cell_name(label: Column, threshold: Column, catalog: Column) -> Column:
     """free-<label>[-esc<t>]-c<n>.jsonl."""
     esc = F.when(threshold.isNotNull(), F.concat(F.lit("-esc"), F.format_string("%.2f", threshold))).otherwise("")
     return F.concat(F.lit("free-"), label, esc, F.lit("-c"), catalog.cast("string"), F.lit(".jsonl"))
+
+
+def batch_path(folder: Column, session: Column, rep: Column, index: Column) -> Column:
+    """Where a batch of episodes is saved: a path of its own for every session."""
+    return F.format_string("%s/rep%d-%s-batch%03d.json", folder, rep, session, index)
+
+
+def slot_choices(requests: DataFrame, pool: str, order: str, tokens: str, size: int) -> DataFrame:
+    """(pool, order, slot, shared, reused) of prompts that a pool of `size` prefix caches serves one after another.
+
+    A prompt goes to the slot that shares the longest prefix of tokens with it, among equals the one least
+    recently used; if none shares anything, to an empty slot, else the least recently used. reused leaves at least
+    one token to feed again. A pool is a sequence by nature: its state is `size` token lists in one task; pools
+    run side by side.
+    """
+    if size < 1:
+        raise ValueError("a pool needs at least one slot")
+
+    def serve(table: pa.Table) -> pa.Table:
+        held: list[list[int]] = [[] for _ in range(size)]
+        used = [0] * size
+        rows = sorted(zip(table[order].to_pylist(), table[tokens].to_pylist(), strict=True), key=lambda row: row[0])
+        out: dict[str, list] = {"slot": [], "shared": [], "reused": []}
+        for clock, (_, prompt) in enumerate(rows, 1):
+            prompt = prompt or []
+            lengths = [len(os.path.commonprefix([slot, prompt])) for slot in held]
+            best = min(range(size), key=lambda i: (-lengths[i], bool(held[i]) if not any(lengths) else False, used[i]))
+            out["slot"].append(best)
+            out["shared"].append(lengths[best])
+            out["reused"].append(max(0, min(lengths[best], len(prompt) - 1)))
+            held[best], used[best] = prompt, clock
+        return pa.table({pool: pa.array([table[pool][0].as_py()] * len(rows), table.schema.field(pool).type), order: pa.array([r[0] for r in rows], table.schema.field(order).type), **{k: pa.array(v, pa.int32()) for k, v in out.items()}})
+
+    types = {f.name: f.dataType.simpleString() for f in requests.schema}
+    return requests.select(pool, order, tokens).groupBy(pool).applyInArrow(serve, f"{pool} {types[pool]}, {order} {types[order]}, slot int, shared int, reused int")

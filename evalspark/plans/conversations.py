@@ -305,6 +305,15 @@ _JUDGED = f"""
         SELECT *, CASE WHEN bucket IS NULL THEN 'agree' WHEN {_SAME} THEN 'equivalent' WHEN cut_off THEN 'teacher_cut_off' WHEN rk = 'reply' AND coalesce({_REASONING.format("text")}, false) THEN 'teacher_reasoning'
             WHEN rk = 'tool_call' AND len(coalesce(pc, [])) > 0 AND len({_CHANGES.format('pc')}) = 0 AND list_has_all(CASE WHEN task IS NULL OR rep IS NULL OR step_index IS NULL THEN [] ELSE coalesce(later, []) END, {_KEYS.format('pc')}) THEN 'ordering_only' ELSE 'pair' END AS outcome
         FROM (SELECT *, {_BUCKET} AS bucket, {_LATER} AS later FROM ({_scored()}))"""
+_SPACE = r"[\s\x{{00a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{3000}}\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}]"
+_PARSED = r"""
+        SELECT doc_id, blocks, said, whole, calls, CASE WHEN error IS NULL THEN CASE WHEN len(blocks) > 0 THEN 'tool_call' ELSE 'reply' END END AS kind, error, error IS NULL AND len(blocks) > 0 AND said <> '' AS stray FROM (
+            SELECT *, CASE WHEN len(blocks) = 0 THEN CASE WHEN contains(said, '<tool_call>') THEN 'unclosed' WHEN said = '' THEN 'empty' END ELSE list_filter(calls, lambda e: e IS NOT NULL)[1] END AS error FROM (
+                SELECT *, list_transform(blocks, lambda b: CASE WHEN try_cast(b AS json) IS NULL THEN 'block_no_json' WHEN coalesce(json_type(try_cast(b AS json), '$.name'), '') <> 'VARCHAR' THEN 'no_name'
+                    WHEN json_type(try_cast(b AS json), '$.arguments') = 'VARCHAR' THEN CASE WHEN try_cast(try_cast(b AS json)->>'$.arguments' AS json) IS NULL THEN 'arguments_no_json' WHEN json_type(try_cast(try_cast(b AS json)->>'$.arguments' AS json)) <> 'OBJECT' THEN 'arguments_no_object' END
+                    WHEN coalesce(json_type(try_cast(b AS json), '$.arguments'), 'OBJECT') <> 'OBJECT' THEN 'arguments_no_object' END) AS calls FROM (
+                    SELECT doc_id, regexp_replace(body, '^SPACE+|SPACE+$', '', 'g') AS whole, regexp_extract_all(body, '(?s)<tool_call>\s*(.*?)\s*</tool_call>', 1) AS blocks, regexp_replace(regexp_replace(body, '(?s)<tool_call>\s*(.*?)\s*</tool_call>', '', 'g'), '^SPACE+|SPACE+$', '', 'g') AS said
+                    FROM (SELECT doc_id, string_split({0}, '<|im_end|>')[1] AS body FROM documents))))""".replace("SPACE", _SPACE)
 
 ORACLES = {
     "decision_steps": f"""
@@ -368,6 +377,7 @@ ORACLES = {
         SELECT s.eval_id, round(CASE WHEN pk IS NULL THEN 0 WHEN rk = 'tool_call' AND pk = 'tool_call' THEN CASE WHEN hallucinated_tool THEN 0 ELSE 0.1::double + 0.1::double * coalesce(fit, true)::int + 0.2::double * (name_match OR (coalesce(fit, true) AND effect))::int + 0.6::double * (coalesce(fit, true) AND effect)::int END WHEN rk = 'reply' AND pk = 'reply' THEN 1 ELSE 0 END, 6) AS reward FROM s LEFT JOIN f ON s.eval_id = f.eval_id""",
     "argument_schemas": f"SELECT n AS name, count(*) FILTER (f) AS n_fit, count(*) FILTER (NOT f) AS n_unfit, count(*) AS n FROM (SELECT n, {_FITS} AS f FROM ({_OBJECT.format(f'SELECT c.name AS n, c.arguments AS t FROM (SELECT unnest({_CALLS}) AS c FROM ({_MESSAGES}))')})) GROUP BY 1",
     "teacher_reasoning": f"SELECT {_SOURCE} AS source, count(*) FILTER ({_REASONING.format('reference.text')}) AS n_reasoning, count(reference.text) AS n_text FROM train_states GROUP BY 1",
+    "completions_parsed": f"SELECT kind, error, stray, count(*) AS n, sum(CASE WHEN error IS NULL THEN len(blocks) ELSE 0 END)::bigint AS n_calls FROM ({_PARSED.format('text')}) WHERE whole IS NOT NULL GROUP BY 1, 2, 3",
     "completion_kinds": r"""
         WITH b AS (SELECT string_split(text, '<|im_end|>')[1] AS b FROM documents WHERE text IS NOT NULL), n AS (SELECT b, len(regexp_extract_all(b, '(?s)<tool_call>(.*?)</tool_call>', 1)) AS k FROM b)
         SELECT CASE WHEN contains(b, '<tool_call>') THEN CASE WHEN k > 0 THEN 'blocks' ELSE 'unclosed' END WHEN regexp_replace(b, '[\s\x{00a0}\x{2000}-\x{200a}\x{3000}\x{0b}\x{85}\x{2028}\x{2029}\x{202f}]+', '', 'g') <> '' THEN 'reply' ELSE 'empty' END AS kind, count(*) AS n, sum(k)::bigint AS n_blocks FROM n GROUP BY 1""",
