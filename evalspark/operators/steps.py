@@ -13,6 +13,7 @@ from evalspark.functions.text import strip
 from evalspark.operators.invariants import duplicates, require
 from evalspark.operators.scoring import BUCKETS, OUTSIDE
 from evalspark.operators.turns import IM_END, IM_START
+from evalspark.shared import written
 
 # Fixed texts: what stands for an empty turn, and for one that didn't fit.
 EMPTY_REPLY = "[empty response]"
@@ -34,6 +35,21 @@ def numbers_first(key: Column) -> list[Column]:
     return [F.coalesce(F.when(key.rlike("^[0-9]+$"), key.try_cast("int")), F.lit(1 << 30)), key]
 
 
+def places(rows: DataFrame, orders: dict[str, str]) -> DataFrame:
+    """`rows` with their place, from 1, in each named order of a unique column.
+
+    An order's rows are range-partitioned and sorted, counted by task, and numbered inside their task: no task
+    holds more than a range.
+    """
+    for name, column in orders.items():
+        ranged = rows.repartitionByRange(F.col(column)).sortWithinPartitions(column).withColumn("_at", F.monotonically_increasing_id())
+        ranged = written(ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at") - F.shiftleft(F.col("_part"), 33)), "places")
+        sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+        below = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_below"))  # a row a partition
+        rows = ranged.join(F.broadcast(below), "_part").withColumn(name, F.col("_below") + F.col("_at") + 1).drop("_part", "_at", "_below")
+    return rows
+
+
 def first_present(ordered: DataFrame, present: DataFrame, key: str, ordinal: str, n: int) -> DataFrame:
     """The first n keys by ordinal among those that are present: filtered, then limited."""
     return ordered.join(present.select(key).distinct(), key, "left_semi").orderBy(ordinal).limit(n)
@@ -70,6 +86,14 @@ def without_fence(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text)
 
 
+def completion_form(text: Column) -> Column:
+    """(kind, n_blocks): the part of reading a completion that needs no JSON: reply, empty, unclosed or blocks, and how many."""
+    body = F.substring_index(text, IM_END, 1)
+    blocks = F.size(F.regexp_extract_all(body, F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), 1))
+    kind = F.when(F.contains(body, F.lit("<tool_call>")), F.when(blocks > 0, "blocks").otherwise("unclosed")).when(strip(body) != "", "reply").otherwise("empty")
+    return F.struct(kind.alias("kind"), blocks.alias("n_blocks"))
+
+
 def served_turn(parsed: Column, completion: Column, overflow: Column, overflow_reply: str) -> Column:
     """(content, calls) of a turn from `canon.parse_completion`: calls, a reply, or what was said although it can't be read."""
     said = strip(F.substring_index(F.coalesce(completion, F.lit("")), IM_END, 1))

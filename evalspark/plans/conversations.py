@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import canon
 from evalspark.functions.text import label, strip, whole_number
-from evalspark.operators import catalogs, compare, datacard, pairs, reward, scoring, turns
+from evalspark.operators import catalogs, compare, datacard, pairs, reward, scoring, steps, turns
 from evalspark.plans.runs import rounded
 from evalspark.plans.tables import table
 
@@ -182,11 +182,9 @@ def completions_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completion_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of reading a completion that needs no JSON: block or not, closed or not, how many."""
-    body = F.substring_index("text", turns.IM_END, 1)
-    blocks = F.size(F.regexp_extract_all(body, F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), 1))
-    kind = F.when(F.contains(body, F.lit("<tool_call>")), F.when(blocks > 0, "blocks").otherwise("unclosed")).when(strip(body) != "", "reply").otherwise("empty")
-    return table(spark, sf_dir, "documents").where("text is not null").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(blocks).alias("n_blocks"))
+    """Documents by the form they would have as a completion."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(steps.completion_form(F.col("text")).alias("f"))
+    return rows.groupBy("f.kind").agg(F.count("*").alias("n"), F.sum("f.n_blocks").alias("n_blocks"))
 
 
 def argument_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,6 +295,10 @@ _RATES = [("step_agreement", "rk = 'tool_call'", "normalized_match"), ("tool_nam
 _RATES += [(b, "rk = 'tool_call'", f"coalesce(bucket = '{b}', false)") for b in scoring.BUCKETS] + [("call_instead_of_reply", "rk = 'reply'", "coalesce(bucket = 'call_instead_of_reply', false)"), ("malformed_output", "true", "coalesce(bucket = 'malformed_output', false)")]
 _RATE_ROWS = " UNION ALL ".join(f"SELECT task, rep, eval_id, '{n}' AS rate, ({c})::int AS den, (({c}) AND ({h}))::int AS hit FROM x" for n, c, h in _RATES)
 _REASONING = r"regexp_matches(regexp_replace({0}, '(?i)\bthe user(''s|’s)?\s*(id|account)\b', '', 'g'), '(?i)\bthe user(''s|’s)?\b')"
+_FLAT = "list_transform({0}.calls, lambda c: c.name || ' ' || coalesce(array_to_string(list_sort(list_transform(json_keys(try_cast(c.arguments AS json)), lambda k: k || '=' || {1}(coalesce(json_type(try_cast(c.arguments AS json), '$.' || k), '') || trim(coalesce(json_extract_string(try_cast(c.arguments AS json), '$.' || k), ''))))), ','), c.arguments))"
+_SCORED_JSON = f"""
+        SELECT * REPLACE (two AND {_FLAT.format('r', 'lower')} = {_FLAT.format('p', 'lower')} AS normalized_match, two AND {_FLAT.format('r', '')} = {_FLAT.format('p', '')} AS strict_match) FROM (
+            SELECT *, coalesce(rk = 'tool_call', false) AND coalesce(pk = 'tool_call', false) AS two, {{'calls': rc}} AS r, {{'calls': pc}} AS p FROM ({_scored()}))"""
 _KEYS = r"list_transform(coalesce({0}, []), lambda c: concat_ws(chr(9), c.name, lower(regexp_replace(coalesce(c.arguments, ''), '^\s+|\s+$', '', 'g'))))"
 _READS, _CHANGES = (f"list_filter({_KEYS}, lambda k: {no} regexp_matches(k, '^(get_|find_|list_)'))" for no in ("", "NOT"))
 _SAME = f"(len(coalesce(pc, [])) > 0 AND len(coalesce(rc, [])) > 0 AND {_CHANGES.format('pc')} = {_CHANGES.format('rc')} AND list_sort(list_distinct({_READS.format('pc')})) = list_sort(list_distinct({_READS.format('rc')})))"
@@ -343,6 +345,7 @@ ORACLES = {
         SELECT e.episode_id, coalesce(turns, 0) AS student_turns, coalesce(se, 0) AS escalated_turns, coalesce(calls, 0)::bigint AS tool_calls, coalesce(sp, 0) AS parse_errors, coalesce(so, 0) AS context_overflows, coalesce(d, 0)::bigint AS distractor_calls, coalesce(h, 0)::bigint AS hallucinated_calls, coalesce(g, false) AS degenerate_user_turn FROM episodes e LEFT JOIN s USING (episode_id) LEFT JOIN u USING (episode_id)""",
     "token_limit_hits": f"SELECT rep, count(*) FILTER (contains(coalesce(m.raw_data, ''), '''finish_reason'': ''length''') OR coalesce(m.\"usage\".completion_tokens, 0) >= 400) AS n_hit, count(*) AS n FROM ({_MESSAGES}) WHERE m.role = 'assistant' GROUP BY 1",
     "step_scores": f"SELECT eval_id, kind_match, coalesce(name_match, false) AS name_match, coalesce(normalized_match, false) AS normalized_match, coalesce(strict_match, false) AS strict_match, hallucinated_tool FROM ({_scored()})",
+    "step_scores_json": f"SELECT eval_id, kind_match, coalesce(name_match, false) AS name_match, coalesce(normalized_match, false) AS normalized_match, coalesce(strict_match, false) AS strict_match, {_BUCKET} AS bucket FROM ({_SCORED_JSON})",
     "step_summary": f"""
         SELECT source, count(*) AS n_steps, count(*) FILTER (rk = 'tool_call') AS n_tool_call_steps, count(*) FILTER (rk = 'reply') AS n_reply_steps, {_RATE("rk = 'tool_call'", "normalized_match")} AS step_agreement, {_RATE("rk = 'tool_call'", "strict_match")} AS step_agreement_strict,
             {_RATE("rk = 'tool_call'", "name_match")} AS tool_name_accuracy, {_RATE("true", "kind_match")} AS decision_type_accuracy, {_RATE("rk = 'reply'", "kind_match")} AS reply_step_decision_accuracy, {_RATE("pk = 'tool_call'", "hallucinated_tool")} AS hallucinated_tool_rate, {_RATE("true", "pk IS NULL")} AS parse_error_rate

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.text import label, strip, whole_number
 from evalspark.operators import stats, steps
-from evalspark.plans.conversations import CATALOG, NATIVE
 from evalspark.plans.runs import rounded
 from evalspark.plans.tables import table
 
@@ -37,13 +36,6 @@ def first_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(steps.pending_first(ordered, played, "task", "ordinal", 20).select(F.lit("pending").alias("kind"), "task"))
 
 
-def catalog_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog's tools in order, and which are the desk's own."""
-    catalog = spark.createDataFrame([(n, i) for i, n in enumerate(CATALOG)], "name string, ordinal int")
-    native = spark.createDataFrame([(n,) for n in NATIVE], "name string")
-    return steps.in_catalog_order(catalog, native)
-
-
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unscored episodes by repetition and temperature, with the first of them."""
     rows = table(spark, sf_dir, "episodes").where("reward is null").select("rep", "temperature", F.lpad(F.col("episode_id").cast("string"), 9, "0").alias("episode"))
@@ -88,7 +80,7 @@ def sources_spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(label(F.col("source")).alias("source")).agg(F.count("*").alias("n"), F.countDistinct("source").alias("spellings"))
 
 
-ALL = [step_ids, prompt_tails, fences, first_tasks, catalog_order, failures, policy_metrics, prefix_reuse, length_guards, latest_rows, cell_names, sources_spelled]
+ALL = [step_ids, prompt_tails, fences, first_tasks, failures, policy_metrics, prefix_reuse, length_guards, latest_rows, cell_names, sources_spelled]
 QUERIES = {f.__name__: f for f in ALL}
 
 _TASK = "CASE WHEN regexp_full_match(trim(task_id), '[0-9]{1,18}') THEN CAST(trim(task_id) AS BIGINT) END"
@@ -100,10 +92,13 @@ ORACLES = {
         WITH p AS (SELECT eval_id, string_split(prompt, '<|im_start|>') AS p FROM eval_steps WHERE prompt IS NOT NULL),
         t AS (SELECT eval_id, array_to_string(list_transform(p[greatest(1, len(p) - 2):len(p) - 1], lambda x: {_ONE.format("replace(x, '<|im_end|>', '')")}[-600:]), chr(10)) AS t FROM p)
         SELECT eval_id, length(t) AS chars, md5(t) AS hash FROM t""",
+    "fences": r"SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS fenced, length(CASE WHEN regexp_full_match(text, '(?s)\s*```(?:json)?\s*.*?\s*```\s*') THEN regexp_extract(text, '(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$', 1) ELSE text END) AS bare FROM documents WHERE text IS NOT NULL",
+    "cell_names": """
+        WITH r AS (SELECT DISTINCT regexp_replace(CASE WHEN len(string_split(config_name, ':')) >= 2 THEN string_split(config_name, ':')[2] ELSE config_name END, '-esc[0-9.]+$', '') AS l, threshold AS t, catalog AS c FROM free_log)
+        SELECT 'free-' || l || CASE WHEN t IS NOT NULL THEN printf('-esc%.2f', t) ELSE '' END || '-c' || c || '.jsonl' AS file, l IS NOT NULL AS same FROM r""",
     "first_tasks": f"""
         WITH t AS (SELECT DISTINCT {_TASK} AS task FROM tasks WHERE {_TASK} IS NOT NULL), e AS (SELECT DISTINCT {_TASK} AS task FROM episodes WHERE {_TASK} IS NOT NULL)
         SELECT 'present' AS kind, task FROM (SELECT task FROM t WHERE task IN (SELECT task FROM e) ORDER BY task LIMIT 20) UNION ALL SELECT 'pending', task FROM (SELECT task FROM t ORDER BY task LIMIT 20) WHERE task NOT IN (SELECT task FROM e)""",
-    "catalog_order": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i}, {str(n in NATIVE).lower()})" for i, n in enumerate(CATALOG)) + ") t(name, ordinal, own)",
     "failures": "SELECT rep, temperature, count(*) AS n, array_to_string((list_sort(list(lpad(episode_id::varchar, 9, '0'))))[1:8], ', ') AS first, greatest(0, count(DISTINCT episode_id) - 8) AS more FROM episodes WHERE reward IS NULL GROUP BY 1, 2",
     "policy_metrics": """
         WITH r AS (SELECT catalog, concat_ws(':', config_fingerprint, task_id) AS g, reward, (tool_calls > 5)::int::double AS called, (termination = 'max_steps')::int::double AS cut, n_messages::double AS m, threshold FROM free_log WHERE reward IS NOT NULL),

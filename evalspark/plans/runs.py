@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.text import folded, label, number_text, strip, whole_number
 from evalspark.operators import compare, escalation, invariants, latency, pairs, reward, sampling, stats
 from evalspark.plans.tables import table
+from evalspark.sources import sinks
 from evalspark.streaming import runlog
 
 PLACES = 6
@@ -103,7 +104,7 @@ def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wins of each label by catalog, side by side."""
     rows = table(spark, sf_dir, "free_log").select(stats.run_label(F.col("config_name")).alias("label"), "catalog", "reward")
-    return rows.groupBy("label").pivot("catalog", [16, 40, 80]).agg(F.count_if(F.col("reward") == 1.0)).select("label", *(F.coalesce(F.col(str(c)), F.lit(0)).alias(f"wins_c{c}") for c in (16, 40, 80)))
+    return sinks.pivoted(rows, "label", "catalog", F.count_if(F.col("reward") == 1.0), [16, 40, 80]).select("label", *(F.coalesce(F.col(str(c)), F.lit(0)).alias(f"wins_c{c}") for c in (16, 40, 80)))
 
 
 def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,15 +231,10 @@ def split_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulators by whether their name may move, and pairs of spellings that are one."""
-    rows = table(spark, sf_dir, "free_log").select(F.coalesce("simulator", F.lit(stats.DEFAULT_SIMULATOR)).alias("simulator"), "backend")
-    return rows.groupBy("simulator", "backend").agg(F.count("*").alias("n"), F.first(invariants.floating_alias(F.col("simulator"))).alias("floats"), F.first(invariants.same_model(F.concat(F.lit("p/"), F.col("simulator")), F.col("simulator"))).alias("same"))
-
-
-def json_args(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat arguments of events: the key k is there and whole."""
-    k = F.get_json_object("props", "$.k").try_cast("bigint")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(k.isNotNull()).alias("n_fit"), F.sum(k).alias("total"), F.count("*").alias("n"))
+    """Simulators by whether their name may move and whether judge and teacher would be one model, the judge being named with its provider."""
+    model = F.split(stats.run_label(F.col("config_name")), "-")[0]
+    rows = table(spark, sf_dir, "free_log").select(F.coalesce("simulator", F.lit(stats.DEFAULT_SIMULATOR)).alias("simulator"), model.alias("teacher"), F.concat(F.lit("p/"), F.when(F.col("backend") == "mlx", model).otherwise(F.concat(model, F.lit("-preview")))).alias("judge"))
+    return rows.groupBy("simulator", invariants.floating_alias(F.col("judge")).alias("floats"), invariants.same_model(F.col("judge"), F.col("teacher")).alias("same")).agg(F.count("*").alias("n"))
 
 
 def runlog_stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,12 +252,11 @@ def runlog_stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small text rules over all documents: targets, cuts, fences, safe names, reasoning."""
+    """Small text rules over all documents: targets, cuts, tokens, reasoning, modelled latency."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    fence = F.regexp_extract(strip(F.col("text")), r"(?s)^```(?:json)?\s*\n(.*?)\n?```$", 1)
     text: Column = F.col("text")
     return docs.select(
-        "doc_id", F.length(pairs.as_target(text)).alias("target_chars"), F.length(reward.cut(text, 700)).alias("cut_chars"), F.length(F.when(fence != "", fence).otherwise(text)).alias("bare_chars"),
+        "doc_id", F.length(pairs.as_target(text)).alias("target_chars"), F.length(reward.cut(text, 700)).alias("cut_chars"),
         stats.estimated_tokens(text).alias("tokens"), pairs.teacher_reasoning(text).alias("reasoning"), F.round(latency.modelled(text), 6).alias("latency"),
     )
 
@@ -282,7 +277,7 @@ def first_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUNS = [
     success_table, mean_ci_by_user, free_rows, file_cells, latest_identity, pending_cells, latency_levels, repeat_mean_sd, escalation_sweep, auroc, route_decision, gate_verdict, pivot_report,
     rate_window, minute_windows, daily_quota, empty_streak, progress, hash_split, nested_subset, deal_blocks, stride_sample, even_sample, balance_buckets, round_robin, group_advantages, dpo_terms,
-    lr_schedule, batch_loss, policy_loss, logprob_confidence, quota, full_outer_pairing, split_leak_check, identity_checks, json_args, runlog_stream_resume, text_rules, over_limits, first_wins_dedupe,
+    lr_schedule, batch_loss, policy_loss, logprob_confidence, quota, full_outer_pairing, split_leak_check, identity_checks, runlog_stream_resume, text_rules, over_limits, first_wins_dedupe,
 ]
 QUERIES = {f.__name__: f for f in RUNS}
 
@@ -392,10 +387,14 @@ ORACLES = {
         WITH e AS (SELECT DISTINCT {_TASK} AS task FROM eval_steps), t AS (SELECT DISTINCT {_TASK} AS task FROM train_states), k AS (SELECT DISTINCT {_TASK} AS task FROM tasks)
         SELECT 'in both splits' AS rule, count(*) AS n FROM e JOIN t USING (task) UNION ALL SELECT 'train task unknown', count(*) FROM t WHERE task IS NOT NULL AND task NOT IN (SELECT task FROM k WHERE task IS NOT NULL)
         UNION ALL SELECT 'eval task unknown', count(*) FROM e WHERE task IS NOT NULL AND task NOT IN (SELECT task FROM k WHERE task IS NOT NULL)""",
-    "identity_checks": "SELECT coalesce(simulator, 'v1') AS simulator, backend, count(*) AS n, regexp_matches(lower(coalesce(simulator, 'v1')), 'latest|preview') AS floats, true AS same FROM free_log GROUP BY 1, 2",
-    "json_args": "SELECT event_type, count(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS n_fit, sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT))::bigint AS total, count(*) AS n FROM events GROUP BY 1",
+    "identity_checks": f"""
+        WITH r AS (SELECT coalesce(simulator, 'v1') AS simulator, string_split({_LABEL}, '-')[1] AS t, backend FROM free_log), j AS (SELECT simulator, t, CASE WHEN backend = 'mlx' THEN t ELSE t || '-preview' END AS j FROM r)
+        SELECT simulator, regexp_matches(lower(j), 'latest|preview') AS floats, j = t AS same, count(*) AS n FROM j GROUP BY 1, 2, 3""",
     "runlog_stream_resume": """
         SELECT seed, count(*) AS n FROM (SELECT DISTINCT lower(trim(config_fingerprint, E' \\t\\n')) AS fp, regexp_replace(lower(trim(task_id)), '^0+(.)', '\\1') AS task, seed FROM free_log WHERE config_fingerprint IS NOT NULL AND trim(task_id) <> '') GROUP BY 1""",
+    "text_rules": r"""
+        SELECT doc_id, length(string_split(text, '<|im_end|>')[1]) + 10 AS target_chars, CASE WHEN length(text) > 700 THEN 702 ELSE length(text) END AS cut_chars, round_even(length(text) / 3.5::double, 0)::bigint AS tokens,
+            coalesce(regexp_matches(regexp_replace(text, '(?i)\bthe user(''s|’s)?\s*(id|account)\b', '', 'g'), '(?i)\bthe user(''s|’s)?\b'), false) AS reasoning, round(1 + length(text) / 1000::double, 6) AS latency FROM documents""",
     "over_limits": """
         WITH d AS (SELECT coalesce(lang, 'none') AS lang, round_even(length(text) / 3.5::double, 0)::bigint AS tokens FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY tokens) AS rn, count(tokens) OVER (PARTITION BY lang) AS m FROM d WHERE tokens IS NOT NULL)
         SELECT lang, m AS n, round(mean, 6) AS mean, max, round(o1, 6) AS over_2048, round(o2, 6) AS over_4096, round(o3, 6) AS over_8192, round(o4, 6) AS over_12288, round(o5, 6) AS over_16384, p50, p95 FROM (

@@ -6,7 +6,7 @@ import hashlib
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESERVED = {"config_fingerprint", "config_name", "task_id", "seed", "ts", "smoke"}
@@ -24,16 +24,28 @@ def append_log(payload: DataFrame, path: str, identity: dict[str, str], per_file
     writer.json(path)
 
 
-def write_with_manifest(rows: DataFrame, path: str, order: list[str], counts: dict[str, int] | None = None) -> dict:
-    """Write ordered JSON lines as a table of part files and give a manifest with the hash over the ordered records.
+def write_with_manifest(rows: DataFrame, path: str, order: list[str], counts: list[Column] | None = None, parts: int | None = None) -> dict:
+    """Write ordered JSON lines as a table of part files and give a manifest: rows, hash, and the named `counts` over the rows.
 
-    The hash is of the records' hashes in order, taken part by part, so the writer stays distributed.
+    Parts are ranges of the order, `parts` of them or as many as Spark deems right. Each written part is read back
+    and hashed (SHA-256) by its own task; the manifest's hash is SHA-256 over the parts' hashes in order, or the
+    only part's own. What is on the driver is a hash a part.
     """
+    spark = rows.sparkSession
     lines = rows.select(*order, F.to_json(F.struct(*rows.columns)).alias("line"))
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
-    parts = lines.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(line))").alias("x")).first()
-    digest = hashlib.sha256(f"{parts.n}:{parts.x}".encode()).hexdigest()
-    return {"file": path, "n": parts.n, "hash": digest, **(counts or {})}
+    ranged = lines.repartitionByRange(parts, *order) if parts else lines.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order, "line").select("line").write.mode("overwrite").text(path)
+    written = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", F.sha2("content", 256).alias("sha"))
+    hashes = [r.sha for r in written.orderBy("path").collect()]
+    digest = hashes[0] if len(hashes) == 1 else hashlib.sha256("".join(hashes).encode()).hexdigest()
+    found = rows.agg(F.count("*").alias("n"), *(counts or [])).first()
+    return {"file": path, "parts": len(hashes), "hash": digest, **found.asDict()}
+
+
+def training_counts() -> list[Column]:
+    """What a manifest of training records says of them: decisions, tasks, the longest, and the tasks by length and text."""
+    tasks = F.array_sort(F.collect_set(F.struct(F.length("task_id").alias("n"), F.col("task_id").alias("id"))))
+    return [F.coalesce(F.sum("n_decisions"), F.lit(0)).alias("n_decisions"), F.countDistinct("task_id").alias("n_tasks"), F.coalesce(F.max("chars"), F.lit(0)).alias("max_chars"), F.transform(tasks, lambda t: t["id"]).alias("task_ids")]
 
 
 def write_summary(rows: DataFrame, path: str, most: int = 10_000) -> None:
@@ -50,9 +62,19 @@ def percent(value: float | None, complete: bool = True, done: str = "") -> str:
     return "n/a" if value is None else f"{100 * value:.1f} %"
 
 
+def pivoted(rows: DataFrame, by: str, column: str, value: Column, columns: list) -> DataFrame:
+    """One row a value of `by`, a column for each of the given values of `column`."""
+    return rows.groupBy(by).pivot(column, columns).agg(value)
+
+
+def write_cells(rows: DataFrame, folder: str, name: str) -> None:
+    """Rows as one folder of JSON lines for each log name, `<folder>/log=<name>/`."""
+    rows.withColumnRenamed(name, "log").write.mode("append").partitionBy("log").json(folder)
+
+
 def markdown(rows: DataFrame, by: str, column: str, value: str, columns: list[str]) -> str:
     """A pivoted table in Markdown."""
-    table = rows.groupBy(by).pivot(column, columns).agg(F.first(value)).orderBy(by).collect()
+    table = pivoted(rows, by, column, F.first(value), columns).orderBy(by).collect()
     head = [f"| {by} | " + " | ".join(columns) + " |", "|" + "---|" * (len(columns) + 1)]
     return "\n".join(head + ["| " + " | ".join([str(r[by]), *(percent(r[c]) for c in columns)]) + " |" for r in table])
 
@@ -60,4 +82,5 @@ def markdown(rows: DataFrame, by: str, column: str, value: str, columns: list[st
 def write_label_sheet(rows: DataFrame, path: str) -> None:
     """A CSV for people, with the completion's first characters."""
     cut = rows.withColumn("completion", F.substring("completion", 1, SHEET_CHARS))
-    cut.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True)
+    # One file for people; the work in front of it stays spread.
+    cut.repartition(1).write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -5,34 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalspark.sources.readers import RUN_LOG, exists
+from evalspark.sources.readers import RUN_LOG
 
 KEY = ["config_fingerprint", "task_id", "seed"]
 
 
-def append_new(spark: SparkSession, target: str, key: list[str] | None = None):
-    """A foreachBatch function: of each micro-batch it appends the cells that the target hasn't, each once.
-
-    A batch is written below its own number and overwritten if it is repeated after a failure, so a batch that
-    ran twice leaves its rows once.
-    """
-    keys = key or KEY
+def append_once(target: str):
+    """A foreachBatch function that appends a micro-batch below its own number, overwritten if it is repeated after a failure."""
 
     def take(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(keys)
-        if exists(spark, f"{target}/batch=*"):
-            seen = spark.read.option("basePath", target).parquet(f"{target}/batch=*").where(F.col("batch") != number)
-            fresh = fresh.join(seen.select(*keys), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return take
 
 
+def logged(rows: DataFrame, ended: Column) -> DataFrame:
+    """The rows that go to the log; a cell that failed stays out of it and so is pending again."""
+    return rows.where(F.coalesce(ended, F.lit(False)))
+
+
 def resume(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = RUN_LOG, key: list[str] | None = None) -> None:
-    """Take everything that has arrived in `source` since the last call, then stop."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 128).json(source)
-    query = stream.writeStream.foreachBatch(append_new(spark, target, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Take everything that has arrived in `source` since the last call, each cell once, then stop.
+
+    Which cells were taken is the stream's own state, kept beside the checkpoint and partitioned by key, so a
+    micro-batch looks up its own rows and never reads the sink. The state lives on disk (RocksDB) and grows by a
+    key a cell; a source whose repeats come within bounded time takes `first_within` instead.
+    """
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 128).json(source).dropDuplicates(key or KEY)
+        query = stream.writeStream.foreachBatch(append_once(target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
 
 
 def first_within(stream: DataFrame, at: str, key: list[str], delay: str = "10 minutes") -> DataFrame:

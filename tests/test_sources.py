@@ -89,9 +89,16 @@ def test_sinks(spark, tmp_path):
     assert readers.strict_jsonl(spark, str(tmp_path / "log"), readers.RUN_LOG).where("ts > 1e9").count() == 4
     with pytest.raises(ValueError):
         sinks.append_log(payload.withColumnRenamed("reward", "ts"), str(tmp_path / "log"), {})
-    one = sinks.write_with_manifest(payload, str(tmp_path / "w"), ["task_id"], {"n_tasks": 2})
-    two = sinks.write_with_manifest(payload.repartition(3), str(tmp_path / "w2"), ["task_id"])
-    assert one["n"] == 2 and one["hash"] == two["hash"] and one["n_tasks"] == 2
+    from pyspark.sql import functions as F
+
+    one = sinks.write_with_manifest(payload, str(tmp_path / "w"), ["task_id"], [F.countDistinct("task_id").alias("n_tasks")], parts=1)
+    two = sinks.write_with_manifest(payload.repartition(3), str(tmp_path / "w2"), ["task_id"], parts=1)
+    content = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
+    assert one["n"] == 2 and one["n_tasks"] == 2 and one["hash"] == two["hash"] == hashlib.sha256(content).hexdigest()
+    # Order and repeated lines count.
+    twice = sinks.write_with_manifest(payload.unionByName(payload), str(tmp_path / "w3"), ["task_id"], parts=2)
+    turned = sinks.write_with_manifest(payload.withColumn("reward", -F.col("reward")), str(tmp_path / "w4"), ["reward"], parts=1)
+    assert twice["n"] == 4 and len({twice["hash"], turned["hash"], one["hash"]}) == 3
     sinks.write_summary(payload, str(tmp_path / "s.json"))
     assert len(json.loads((tmp_path / "s.json").read_text())) == 2
     with pytest.raises(ValueError):
