@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.functions.joins import on_groups
 from evalspark.functions.text import label
 from evalspark.llm.encode import NAME, VOCABULARIES, count_tokens
 from evalspark.shared import written
@@ -37,7 +38,8 @@ def sized_documents(documents: DataFrame, folder: str = VOCABULARIES, name: str
     sized = count_tokens(named.withColumn("print", print_), "doc_id, source, print", folder=folder, name=name).where("n_tokens > 0")
     sized = written(sized, "mix-sizes")
     times = sized.groupBy("source", "print").agg(F.count("*").alias("times")).where("times > 1")
-    kept = sized.join(times, ["source", "print"], "left")
+    # Null-safe keys need exchanges of their own, so a text that is stored millions of times is split over tasks.
+    kept = on_groups(sized, times, ["source", "print"], "left")
     halvings = F.least(F.lit(MAX_COPIES_CLASS), F.floor(F.log2(F.coalesce(F.col("times"), F.lit(1)))).cast("int"))
     return kept.select("doc_id", "source", "n_tokens", F.pow(F.lit(2.0), -halvings).alias("odds"))
 

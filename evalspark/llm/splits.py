@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.functions.joins import on_groups
 from evalspark.functions.text import folded, strip, whole_number
 from evalspark.operators.sampling import hash_place
 from evalspark.shared import written
@@ -35,7 +36,7 @@ def task_links(tasks: DataFrame) -> DataFrame:
     rows = rows.where("task is not null")
     by_user = rows.where("user is not null").select("user", "task").distinct()
     hubs = by_user.groupBy("user").agg(F.min("task").alias("hub"))
-    stars = by_user.join(hubs, "user").select(F.col("hub").alias("a"), F.col("task").alias("b"))
+    stars = on_groups(by_user, hubs, ["user"]).select(F.col("hub").alias("a"), F.col("task").alias("b"))
     known = rows.select(F.col("task").alias("origin")).distinct()
     derived = rows.where("origin is not null").select("task", "origin").distinct().join(known, "origin", "left_semi")
     derived = derived.select(F.least("task", "origin").alias("a"), F.greatest("task", "origin").alias("b"))
@@ -72,7 +73,7 @@ def components(links: DataFrame) -> DataFrame:
             root = written(root, "roots")
     whole = root.unionByName(root.select(F.col("root").alias("v"), "root").distinct())
     smallest = whole.groupBy("root").agg(F.min("v").alias("component"))
-    return whole.join(smallest, "root").select("v", "component")
+    return on_groups(whole, smallest, ["root"]).select("v", "component")
 
 
 def task_weights(tasks: DataFrame, episodes: DataFrame, steps: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def assign(grouped: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     ends = targets.where("share > 0").select("split_name", (F.sum("share").over(one.orderBy(F.col("share").desc(), "split_name")) / F.sum("share").over(one)).alias("end"), (F.col("share") / F.sum("share").over(one)).alias("part"))
     ends = ends.select(F.array_sort(F.collect_list(F.struct("end", "split_name")).over(one)).alias("ends")).limit(1)
     chosen = placed.join(F.broadcast(ends)).select("group_no", F.coalesce(F.filter("ends", lambda x: x["end"] > F.col("middle"))[0]["split_name"], F.element_at("ends", -1)["split_name"]).alias("split_name"))
-    return grouped.join(chosen, "group_no")
+    return on_groups(grouped, chosen, ["group_no"])
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
