@@ -11,7 +11,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 _made: set[str] = set()
@@ -65,6 +66,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+    """`df` written like `written`, and how many of its rows meet a condition, counted while they are written."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count_if(condition).alias("n")), name)
+    return table, seen.get["n"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many tasks as there are cores, for stages that are heavy in Python.
 
