@@ -4,7 +4,7 @@ Tasks are vertices; a task is linked to the smallest task of each user it is reg
 pairs of a user's tasks) and to the task it was derived from. Components come from random-mate contraction: in
 each round every vertex tosses a coin, each vertex that shows tails and has a neighbour that shows heads is
 merged into the smallest such neighbour, edges follow, and those inside a merged vertex vanish. When no edges
-are left the merges are unwound from the last round to the first. Each round's two tables are written to the
+are left the merges are unwound. Each round's table is written to the
 shared folder, so lineage stays one round long and nothing of the graph is on the driver but its edge count.
 
 Components are then dealt to splits by the running sum of their weights.
@@ -12,17 +12,21 @@ Components are then dealt to splits by the running sum of their weights.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.joins import on_groups
 from evalspark.functions.text import folded, strip, whole_number
 from evalspark.operators.sampling import hash_place
-from evalspark.shared import written
+from evalspark.shared import counted, written
 
 # What a user_id says when no user is known.
 NO_USER = ["", "?", "-", "--", "n/a", "na", "nan", "none", "null", "nil", "unknown", "undefined", "anonymous", "no user", "not known"]
-MAX_ROUNDS = 200
+# More rounds together are fewer jobs, but compute their merges again.
+MAX_ROUNDS, TOGETHER = 200, 1
+EDGE, MERGE = 0, 1
 
 
 def known_user(column: Column) -> Column:
@@ -47,31 +51,48 @@ def heads(vertex: Column, round_: int) -> Column:
     return F.xxhash64(vertex, F.lit(round_)) % 2 == 0
 
 
+def contracted(edges: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b) of the edges that are left after a round, (v, into) of who was merged into whom)."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tails = both.where(~heads(F.col("a"), round_) & heads(F.col("b"), round_))
+    mates = tails.groupBy("a").agg(F.min("b").alias("into"))
+    # Null-safe keys need exchanges of their own, so the edges of one giant vertex are split over tasks.
+    left = on_groups(edges, mates.withColumnRenamed("into", "into_a"), ["a"], "left")
+    left = on_groups(left, mates.withColumnsRenamed({"a": "b", "into": "into_b"}), ["b"], "left")
+    a, b = F.coalesce("into_a", "a"), F.coalesce("into_b", "b")
+    moved = left.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+    return moved, mates.select(F.col("a").alias("v"), "into")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(v, component) of every vertex that has a link; component is the smallest vertex it is connected with."""
-    edges, merges = written(links, "links"), []
-    for round_ in range(MAX_ROUNDS):
-        if edges.isEmpty():
+    """(v, component) of every vertex that has a link; component is the smallest vertex it is connected with.
+
+    TOGETHER rounds are one job: it writes the edges that are left and the merges as one table, and the write
+    counts the edges. As a vertex is merged once only, all merges together are a forest, which is unwound by following two
+    steps at once: as many joins as the rounds have binary digits.
+    """
+    edges, count = counted(links.select(F.lit(EDGE).alias("kind"), "a", "b"), "links", F.col("kind") == EDGE)
+    merges: list[DataFrame] = []
+    for round_ in range(0, MAX_ROUNDS, TOGETHER):
+        if count == 0:
             break
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tails = both.where(~heads(F.col("a"), round_) & heads(F.col("b"), round_))
-        mates = written(tails.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("into")), "mates")
-        merges.append(mates)
-        left = edges.join(mates.withColumnsRenamed({"v": "a", "into": "into_a"}), "a", "left")
-        left = left.join(mates.withColumnsRenamed({"v": "b", "into": "into_b"}), "b", "left")
-        a, b = F.coalesce("into_a", "a"), F.coalesce("into_b", "b")
-        moved = left.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-        edges = written(moved, "links")
+        left, merged = edges.where(F.col("kind") == EDGE).select("a", "b"), []
+        for step in range(TOGETHER):
+            left, mates = contracted(left, round_ + step)
+            merged.append(mates.select(F.lit(MERGE).alias("kind"), F.col("v").alias("a"), F.col("into").alias("b")))
+        rows = functools.reduce(DataFrame.unionByName, merged, left.select(F.lit(EDGE).alias("kind"), "a", "b"))
+        edges, count = counted(rows, "contracted", F.col("kind") == EDGE)
+        merges.append(edges.where(F.col("kind") == MERGE).select(F.col("a").alias("v"), F.col("b").alias("into")))
     else:
         raise RuntimeError("edges are left after all rounds")
-    spark = links.sparkSession
-    root = spark.createDataFrame([], "v bigint, root bigint")
-    for number, mates in enumerate(reversed(merges)):
-        up = mates.join(root.withColumnsRenamed({"v": "into", "root": "top"}), "into", "left")
-        root = root.unionByName(up.select("v", F.coalesce("top", "into").alias("root")))
-        if number % 4 == 3:
-            root = written(root, "roots")
-    whole = root.unionByName(root.select(F.col("root").alias("v"), "root").distinct())
+    if not merges:
+        return links.select(F.col("a").alias("v"), F.col("b").alias("component")).limit(0)
+    root = functools.reduce(DataFrame.unionByName, merges)
+    for _ in range((TOGETHER * len(merges)).bit_length()):
+        above = root.select(F.col("v").alias("into"), F.col("into").alias("top"))
+        root = written(on_groups(root, above, ["into"], "left").select("v", F.coalesce("top", "into").alias("into")), "roots")
+    whole = root.withColumnRenamed("into", "root")
+    whole = whole.unionByName(whole.select(F.col("root").alias("v"), "root").distinct())
     smallest = whole.groupBy("root").agg(F.min("v").alias("component"))
     return on_groups(whole, smallest, ["root"]).select("v", "component")
 
