@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import html
 import json
+import operator
 import re
 from collections.abc import Iterator
 
@@ -80,14 +81,15 @@ _NOTICE = re.compile(r"<noscript\b[^<>]*>(.*?)(?:</noscript|$)", re.I | re.S)
 # One short word, or a word and a number, over and over: keys pressed to fill a field.
 _KEYS = re.compile(r"(?i)(?<!\w)(\w{1,8}(?: \d{1,4})?)(?:[\s,]+\1(?!\w)){4,}|(?:\.{3}\s+){4,}\.{3}")
 _WIDE = re.compile("[\uff01-\uff5e]")
-_EDGES = re.compile(r"^[\s>*#•\-|=~]+|[\s*#|=~]+$")
+_BEFORE, _BEHIND = " \t\n\r\v\f>*#•-|=~", " \t\n\r\v\f*#|=~"
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？।])\s*")
 _RAISED = re.compile(r"^\w{0,30}(?:Error|Exception):\s+", re.I)
-_SPACES = re.compile(r"\s+")
 _SPLIT = re.compile(r"[\s!-/:-@\[-`{-~\u2010-\u203a\u3001\u3002\u0964\uff01-\uff20¿¡«»]+")
 _VARIES = re.compile(r"\S+@\S+|#?\b[A-Z]{0,3}\d[\w.:/\-]*|\b[0-9a-f]{8,}\b|\b[a-z]+_[a-z]+_\d+\b")
+_DIGIT = re.compile(r"\d")
 _TITLE = re.compile(r"\b[^\W\d_a-z][^\W\d_A-Z]+\b")
 _WORD = re.compile(r"\w+|\x01")
+_MASKS = re.compile(r"\x01(?: \x01)+")
 _QUOTES = "\"'`“”„‚‘’«»「」"
 
 # Fixed words, parted by blanks; `_` is a blank between words, so `_page` begins a word and `_page_` is one, and `^`
@@ -138,7 +140,7 @@ LATIN, LATIN_TOO = "_lorem_ _dolor_ _perspiciatis_", "_ipsum_ _amet_ _unde_omnis
 _KINDS = {name: 1 << i for i, name in enumerate(("net", "fails", "alone", "script", "switched", "filler", "goes here", "latin", "latin too"))}
 _WORDS_OF = dict(zip(_KINDS, (NET_THINGS, NET_STATES, ALONE, SCRIPT_THINGS, SCRIPT_STATES, FILLER_THINGS, FILLER_STATES, LATIN, LATIN_TOO), strict=True))
 _PAIRS = [_KINDS["net"] | _KINDS["fails"], _KINDS["script"] | _KINDS["switched"], _KINDS["filler"] | _KINDS["goes here"], _KINDS["alone"], _KINDS["latin"] | _KINDS["latin too"]]
-_STATUS = re.compile(r"^(?:[^\W\d]{2,10}\s*)?[45]\d\d\b\s*[:\-–—]?\s*|\s*\(?\b[45]\d\d\)?$", re.I)
+_STATUS_AHEAD, _STATUS_BEHIND = re.compile(r"(?:[^\W\d]{2,10}\s*)?[45]\d\d\b\s*[:\-–—]?\s*"), re.compile(r"\s*\(?\b[45]\d\d\)?$")
 
 
 @functools.cache
@@ -181,8 +183,12 @@ def plain_text(text: str) -> str:
 def whole_text_residue(text: str) -> bool:
     """Notices in their own tag, and filler of pressed keys, wherever they stand."""
     text = plain_text(text)
-    notice = _NOTICE.search(text) if "<" in text else None
-    return (notice is not None and notice.group(1).strip() != "") or _KEYS.search(text) is not None
+    notice = _NOTICE.search(text) if "<noscript" in text.lower() else None
+    if notice is not None and notice.group(1).strip() != "":
+        return True
+    # Keys pressed over and over are words that are the same as the next one or the one after it.
+    words = text.casefold().replace(",", " ").split()
+    return (any(map(operator.eq, words, words[1:])) or any(map(operator.eq, words, words[2:]))) and _KEYS.search(text) is not None
 
 
 def segments(text: str) -> list[str]:
@@ -192,16 +198,21 @@ def segments(text: str) -> list[str]:
         text = _TAG.sub("\n", text)
     found = []
     for line in text.splitlines():
-        line = _EDGES.sub("", line)
+        line = _edges(line)
         if not line:
             continue
-        for part in _messages(line) if line[0] == "{" else (_RAISED.sub("", line),):
+        for part in _messages(line) if line[0] == "{" else (_RAISED.sub("", line) if ": " in line else line,):
             for sentence in _SENTENCE.split(part):
-                if sentence := _EDGES.sub("", _SPACES.sub(" ", sentence)):
+                if sentence := _edges(" ".join(sentence.split())):
                     found.append(sentence)
     return found
 
 
+def _edges(line: str) -> str:
+    """A line without blanks and marks of lists, quotes and headings around it."""
+    return line.lstrip(_BEFORE).rstrip(_BEHIND)
+
+
 def _messages(line: str) -> list[str]:
     """The texts in a JSON error body; any other line as it is."""
     try:
@@ -236,6 +247,11 @@ def marks(segment: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def varied(text: str) -> bool:
+    """Whether a text may hold a number, an identifier or an address, so that masking it is worth a look."""
+    return "@" in text or _DIGIT.search(text) is not None
+
+
 def template(segment: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[str, str]]]:
     """(the segment with everything that may vary masked, (the mark, the words around it) of each span)."""
     parts, at = [], 0
@@ -243,15 +259,16 @@ def template(segment: str, spans: list[tuple[int, int]]) -> tuple[str, list[tupl
         parts += [segment[at:a], "\x01"]
         at = b
     masked = "".join([*parts, segment[at:]])
-    masked = _VARIES.sub("\x02", masked)
+    masked = _VARIES.sub("\x02", masked) if varied(masked) else masked
     lower = masked.upper() != masked
     masked = _TITLE.sub("\x02", masked) if lower else masked
-    words = _WORD.findall(masked.casefold().replace("\x02", " "))
-    places = [i for i, w in enumerate(words) if w == "\x01"]
-    around = [" ".join(words[max(0, p - 2) : p + 3]) for p in places]
-    values = [re.sub(r"\s+", "", segment[a:b]).casefold() for a, b in spans]
-    key = " ".join(_WORD.findall(masked.casefold().replace("\x02", "\x01").replace("\x01", " \x01 ")))
-    return re.sub(r"\x01(?: \x01)+", "\x01", key), list(zip(values, around, strict=False))
+    masked, places = masked.casefold(), []
+    if spans:
+        words = _WORD.findall(masked.replace("\x02", " "))
+        around = [" ".join(words[max(0, p - 2) : p + 3]) for p, w in enumerate(words) if w == "\x01"]
+        places = list(zip(("".join(segment[a:b].split()).casefold() for a, b in spans), around, strict=False))
+    key = " ".join(_WORD.findall(masked.replace("\x02", "\x01")))
+    return _MASKS.sub("\x01", key), places
 
 
 # Fixed words for what marks are and stand in, when a text speaks of them.
@@ -271,7 +288,7 @@ def spoken_of(segment: str, spans: list[tuple[int, int]]) -> int:
     for a, b in spans:
         bare[a:b] = " " * (b - a)
     rest = "".join(bare)
-    filled = _VARIES.search(rest) is not None
+    filled = varied(rest) and _VARIES.search(rest) is not None
     if quoted or _SOURCE.search(segment) or _SPEAKING.search(rest):
         return SPEAKS
     return BESIDE if filled and all(_DEFAULT.fullmatch(segment[a:b]) for a, b in spans) else LEAVES
@@ -280,18 +297,21 @@ def spoken_of(segment: str, spans: list[tuple[int, int]]) -> int:
 # Program source: a string that is formatted, a call, an assignment that ends a statement.
 _SOURCE = re.compile(r"""\b[frb]["']|\w\(["'][^"']*["'][,)]|;\s*$""")
 _QUOTED = re.compile('["`“”„«»「」]')
-_DIGIT, _SPEAKER = re.compile(r"\d"), re.compile(r"(?:User|Agent|Tool|System)\b")
+_SPEAKER = re.compile(r"(?:User|Agent|Tool|System)\b")
 _CODED = re.compile(r"(?:\S+ ?){0,6}")
 
 
 def untitled(segment: str) -> str:
     """A segment without the number of an HTTP status before or behind it, in lower case, without its last point."""
-    return _STATUS.sub("", segment.casefold().rstrip(" .!…:。！।"), count=1).strip()
+    bare = segment.casefold().rstrip(" .!…:。！।")
+    if ahead := _STATUS_AHEAD.match(bare):
+        return bare[ahead.end() :].strip()
+    return _STATUS_BEHIND.sub("", bare, count=1).strip() if bare[-1:].isdigit() or bare.endswith(")") else bare
 
 
 def constant(segment: str) -> bool:
     """Whether nothing in the segment varies: no numbers, quotes, identifiers or speakers."""
-    return not (_DIGIT.search(segment) or _QUOTED.search(segment) or _VARIES.search(segment) or _SPEAKER.match(segment))
+    return not (_DIGIT.search(segment) or _QUOTED.search(segment) or ("@" in segment and _VARIES.search(segment)) or _SPEAKER.match(segment))
 
 
 # Fixed words that are written with a capital inside a sentence without being a name.
@@ -307,7 +327,6 @@ def named(segment: str) -> bool:
     return any(not said(w.casefold())[0] for w in inside)
 
 
-@functools.lru_cache(maxsize=50_000)
 def page_segment(segment: str) -> bool:
     """Whether the segment by itself is an error title or message, a script notice, filler or a line that waits."""
     bare = untitled(segment)
@@ -324,6 +343,8 @@ def page_segment(segment: str) -> bool:
 
 def page_form(segment: str) -> bool:
     """Whether a line has the form of a status title: an HTTP status and at most a few words, whatever the language."""
+    if not _DIGIT.search(segment):
+        return False
     bare = untitled(segment)
     return 0 < len(bare) < len(segment.rstrip(" .!…:。！।")) and _CODED.fullmatch(bare) is not None and constant(bare)
 
@@ -339,19 +360,19 @@ def number(text: str) -> int:
 
 
 @functools.lru_cache(maxsize=50_000)
-def reading(segment: str) -> tuple[str, tuple]:
-    """What a segment is by itself, remembered as many segments recur.
+def reading(segment: str) -> tuple[str, tuple, bool, bool]:
+    """(kind, found, certain, form) of a segment by itself, remembered as many segments recur.
 
-    (`mark`, a (key, place, around, value, segment, about) for each mark), (`line`, (key,)) if nothing varies, else (`plain`, (key,)).
+    found is a (key, place, around, value, segment, about) for each mark of a `mark`, else a key: of the words of a
+    `line`, in which nothing varies, or of the template of a `plain` segment.
     """
     if spans := marks(segment):
         key, found = template(segment, spans)
-        about = spoken_of(segment, spans)
-        body = number(segment)
-        return "mark", tuple((number(key), i, number(around), number(value), body, about) for i, (value, around) in enumerate(found))
+        about, body = spoken_of(segment, spans), number(segment)
+        return "mark", tuple((number(key), i, number(around), number(value), body, about) for i, (value, around) in enumerate(found)), False, page_form(segment)
     if (bare := untitled(segment)) and constant(bare):
-        return "line", (number(bare),)
-    return "plain", (number(template(segment, [])[0]),)
+        return "line", (number(bare),), page_segment(segment), page_form(segment)
+    return "plain", (number(template(segment, [])[0]),), False, page_form(segment)
 
 
 def evidence(documents: DataFrame) -> DataFrame:
@@ -369,15 +390,13 @@ def evidence(documents: DataFrame) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 parts = list(dict.fromkeys(segments(text)))
                 read = [reading(part) for part in parts]
-                certain = [kind == "line" and page_segment(part) for (kind, _), part in zip(read, parts, strict=True)]
-                formed = [not sure and page_form(part) for sure, part in zip(certain, parts, strict=True)]
                 by_tag = whole_text_residue(text)
-                n_sure = sum(certain) + sum(formed) + by_tag
-                if by_tag or any(certain):
+                n_sure = sum(sure or form for _, _, sure, form in read) + by_tag
+                if by_tag or any(sure for _, _, sure, _ in read):
                     rows.append((doc, "page", None, None, None, None, None, None))
-                page = 2 * sum(kind == "line" for kind, _ in read) >= len(parts)
+                page = 2 * sum(kind == "line" for kind, *_ in read) >= len(parts)
                 body = number("\n".join(parts))
-                for (kind, found), sure, form in zip(read, certain, formed, strict=True):
+                for kind, found, sure, form in read:
                     if kind == "mark":
                         rows += [(doc, "mark", *one) for one in found]
                     elif kind == "line" and not sure:
