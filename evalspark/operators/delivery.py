@@ -5,7 +5,7 @@ identifiers with the delivery that was kept. A batch is first reduced to one row
 aggregate, so an identifier that fills a third of the batch costs one row a task), then each prefix is looked
 up by binary search in its runs; what is new, or arrives with a smaller delivery id than the kept one, becomes
 the batch's own run. After every `merge_every` runs they are merged into one. A prefix holds about
-`per_prefix` identifiers, so the work of one task doesn't grow with the table.
+`per_prefix` identifiers, as prefixes are doubled when they have grown, so the work of one task doesn't grow with the table.
 
 Deliveries to drop are those whose id is in no run after the last merge: an anti-join on the unique delivery
 id, which no hot identifier can skew.
@@ -13,15 +13,15 @@ id, which no hot identifier can skew.
 
 from __future__ import annotations
 
-import math
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import folded, number_text
-from evalspark.shared import drop_path, new_path
+from evalspark.shared import drop_path, new_path, read_text, write_text, written
 
 RUN_SCHEMA = "prefix int, keys binary, ids binary"
 _EMPTY = np.empty(0, "S16")
@@ -42,7 +42,12 @@ def message_key(fingerprint: str = "config_fingerprint", task: str = "task_id",
 
 
 def _keys(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype="S16") if len(column) else _EMPTY
+    """Binary values of 16 bytes as one array, straight from Arrow's buffer."""
+    if not len(column):
+        return _EMPTY
+    chunk = column.combine_chunks().cast(pa.binary()) if isinstance(column, pa.ChunkedArray) else column
+    chunk = chunk.chunk(0) if isinstance(chunk, pa.ChunkedArray) else chunk
+    return np.frombuffer(chunk.buffers()[2], "S16")[: len(chunk)] if chunk.offset == 0 else np.array(chunk.to_pylist(), "S16")
 
 
 def _runs(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -82,29 +87,41 @@ def merge(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nda
 
 
 class DeliveryIndex:
-    """Runs of seen identifiers below `root`. Batches may come in any order of their delivery ids."""
+    """Runs of seen identifiers below `root`, in the folder all executors share. Batches may come in any order of delivery ids.
 
-    def __init__(self, spark: SparkSession, root: str, expected: int, per_prefix: int = 250_000, merge_every: int = 4):
-        self.spark, self.root, self.merge_every = spark, root, merge_every
-        self.prefixes = 1 << max(4, math.ceil(math.log2(max(1, expected) / per_prefix)))
-        self.runs: list[str] = []
-        self.made = 0
+    The index outlives its session: a manifest names the runs that count, the number of prefixes and how many
+    identifiers there are, and is written anew after each change, so an index that is opened again goes on where
+    the last complete one stopped; runs that no manifest names are leftovers. Once a prefix holds more than
+    `per_prefix` identifiers on average, the next merge doubles the prefixes.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, per_prefix: int = 250_000, merge_every: int = 4):
+        self.spark, self.root, self.per_prefix, self.merge_every = spark, root.rstrip("/"), per_prefix, merge_every
+        self.prefixes, self.runs, self.made, self.size = 16, [], 0, 0
+        text = read_text(spark, f"{self.root}/manifest.json")
+        if text is not None:
+            kept = json.loads(text)
+            self.prefixes, self.runs, self.made, self.size = kept["prefixes"], kept["runs"], kept["made"], kept["size"]
+
+    def _save(self) -> None:
+        write_text(self.spark, f"{self.root}/manifest.json", json.dumps({"prefixes": self.prefixes, "runs": self.runs, "made": self.made, "size": self.size}))
 
-    def _prefix(self, key: Column) -> Column:
-        return F.pmod(F.conv(F.hex(F.substring(key, 1, 6)), 16, 10).cast("bigint"), F.lit(self.prefixes)).cast("int")
+    def prefix(self, key: Column) -> Column:
+        return prefix_of(key, self.prefixes)
 
     def _read(self) -> DataFrame:
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*self.runs)
+        return self.spark.read.schema(RUN_SCHEMA).parquet(*(f"{self.root}/{run}" for run in self.runs))
 
-    def _write(self, df: DataFrame) -> str:
-        path = f"{self.root}/run-{self.made:06d}"
+    def _write(self, df: DataFrame) -> tuple[str, int]:
+        """(name, identifiers) of a new run."""
+        name, seen = f"run-{self.made:06d}", Observation()
         self.made += 1
-        df.write.parquet(path)
-        return path
+        df.observe(seen, F.coalesce(F.sum(F.length("keys") / 16), F.lit(0)).cast("bigint").alias("n")).write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return name, seen.get["n"] or 0
 
     def ingest(self, batch: DataFrame) -> None:
         """Take a batch of (key, delivery_id); rows without a key are nobody's copy and are left aside."""
-        local = batch.where("key is not null").groupBy("key").agg(F.min("delivery_id").alias("id")).withColumn("prefix", self._prefix(F.col("key")))
+        local = batch.where("key is not null").groupBy("key").agg(F.min("delivery_id").alias("id")).withColumn("prefix", self.prefix(F.col("key")))
 
         def novel(left: pa.Table, right: pa.Table) -> pa.Table:
             if not len(left):
@@ -118,21 +135,32 @@ class DeliveryIndex:
         else:
             nothing = pa.table({"prefix": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
             found = grouped.applyInArrow(lambda left: novel(left, nothing), RUN_SCHEMA)
-        self.runs.append(self._write(found))
+        name, n = self._write(found)
+        self.runs.append(name)
+        self.size += n
         if len(self.runs) >= self.merge_every:
             self.compact()
+        self._save()
 
     def compact(self) -> None:
-        """Merge all runs into one and remove the old ones."""
-        if len(self.runs) < 2:
+        """Merge all runs into one, over more prefixes if they have grown, and remove the old ones."""
+        finer = 1
+        while self.size > self.per_prefix * self.prefixes * finer:
+            finer *= 2
+        if len(self.runs) < 2 and finer == 1:
             return
+        prefixes = self.prefixes * finer
 
         def merged(table: pa.Table) -> pa.Table:
-            return _row(table["prefix"][0].as_py(), *merge(_runs(table)))
+            keys, ids = merge(_runs(table))
+            number = _prefixes(keys, prefixes)
+            return pa.concat_tables([_row(int(p), keys[number == p], ids[number == p]) for p in np.unique(number)] or [_row(0, _EMPTY, _EMPTY)])
 
-        old, self.runs = self.runs, [self._write(self._read().groupBy("prefix").applyInArrow(merged, RUN_SCHEMA))]
+        old, (name, self.size) = self.runs, self._write(self._read().groupBy("prefix").applyInArrow(merged, RUN_SCHEMA))
+        self.runs, self.prefixes = [name], prefixes
+        self._save()
         for path in old:
-            drop_path(self.spark, path)
+            drop_path(self.spark, f"{self.root}/{path}")
 
     def kept(self) -> DataFrame:
         """(delivery_id) of the one delivery kept of each identifier seen so far."""
@@ -148,27 +176,40 @@ class DeliveryIndex:
         return self._read().select("ids").mapInArrow(ids, "delivery_id bigint")
 
 
-def index_log(log: DataFrame, batches: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Run a whole log through an index in `batches` ranges of delivery ids; give (keyed rows, kept ids)."""
+def prefix_of(key: Column, prefixes: int) -> Column:
+    """The prefix of a key: the remainder of its first four bytes, as a whole number."""
+    return F.pmod(F.conv(F.hex(F.substring(key, 1, 4)), 16, 10).cast("bigint"), F.lit(prefixes)).cast("int")
+
+
+def _prefixes(keys: np.ndarray, prefixes: int) -> np.ndarray:
+    """`prefix_of` for many keys."""
+    return keys.view(np.uint8).reshape(-1, 16)[:, :4].copy().view(">u4").ravel().astype(np.int64) % prefixes
+
+
+def index_log(log: DataFrame, batches: int = 4, root: str | None = None, batch: str = "batch_file") -> tuple[DataFrame, DataFrame]:
+    """Run a whole log through an index in `batches` parts of whole batch files; give (keyed rows, kept ids).
+
+    The log is scanned once: (delivery_id, key) is written by part, files of a part together, and each part is
+    ingested from there. With `root` the index there is opened and goes on, else a new one is made.
+    """
     spark = log.sparkSession
-    keyed = log.select("delivery_id", message_key().alias("key"))
-    low, high, rows = log.agg(F.min("delivery_id"), F.max("delivery_id"), F.count("*")).first()
-    index = DeliveryIndex(spark, new_path(spark, "delivery-index"), rows)
-    if low is not None:
-        step = max(1, -(-(high - low + 1) // batches))
-        for start in range(low, high + 1, step):
-            index.ingest(keyed.where(F.col("delivery_id").between(start, start + step - 1)))
-    return keyed, index.kept()
+    part = F.pmod(F.xxhash64(batch), F.lit(batches)).cast("int") if batch in log.columns else F.pmod(F.col("delivery_id"), F.lit(batches)).cast("int")
+    keyed = written(log.select("delivery_id", message_key().alias("key"), part.alias("part")).where("key is not null"), "delivery-keys", by="part")
+    index = DeliveryIndex(spark, root or new_path(spark, "delivery-index"))
+    for number in range(batches):
+        index.ingest(keyed.where(F.col("part") == number).select("delivery_id", "key"))
+    return keyed.select("delivery_id", "key"), index.kept()
 
 
-def repeated_deliveries(log: DataFrame, batches: int = 4) -> DataFrame:
+def repeated_deliveries(log: DataFrame, batches: int = 4, root: str | None = None) -> DataFrame:
     """(delivery_id) of each delivery to drop.
 
     A row that lacks a part of its identifier is a message of its own and never dropped; an empty log gives no
-    rows; other columns of the log are not read.
+    rows; of other columns only the batch file is read. With `root` messages count that earlier logs brought to the
+    index there.
     """
-    keyed, kept = index_log(log, batches)
-    return keyed.where("key is not null").select("delivery_id").join(kept, "delivery_id", "left_anti")
+    keyed, kept = index_log(log, batches, root)
+    return keyed.select("delivery_id").join(kept, "delivery_id", "left_anti")
 
 
 def once(log: DataFrame, batches: int = 4) -> DataFrame:

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from evalspark.shared import written
 
 CHANGES = "file_id bigint, field_path string, change string"
-_PASS = "part int, pos bigint, file_id bigint, file_name string, body string, field_path string, change string"
+_PASS = "border boolean, part int, pos bigint, file_id bigint, file_name string, body string, field_path string, change string, partner string, before string, layout string"
+STEPS = CHANGES + ", partner string, before string, layout string"
 
 
 def _refuse(word: str):
@@ -92,8 +93,8 @@ class Layouts:
                 self.steps[old_print, new_print] = known
         return known
 
-    def changes(self, old: tuple[str, dict], new: tuple[str, dict]) -> list[tuple[str, str]]:
-        """(path, change) from one file to the next.
+    def changes(self, old: tuple[str, dict], new: tuple[str, dict]) -> list[tuple[str, str, str | None]]:
+        """(path, change, partner) from one file to the next; partner is the former path of a renamed one.
 
         A gone path and a come path that hold the same non-null value are one rename. Gone paths are taken in
         alphabetical order and each takes the alphabetically first partner that is still free.
@@ -105,15 +106,15 @@ class Layouts:
         for path in reversed(come) if gone else ():
             if new[1][path] is not None:
                 free.setdefault(frozen(new[1][path]), []).append(path)
-        found, taken = [(path, "retyped") for path in retyped], set()
+        found, taken = [(path, "retyped", None) for path in retyped], set()
         for path in gone:
             partners = free.get(frozen(old[1][path])) if free and old[1][path] is not None else None
             if partners:
                 taken.add(partner := partners.pop())
-                found.append((partner, "renamed"))
+                found.append((partner, "renamed", path))
             else:
-                found.append((path, "removed"))
-        return found + [(path, "added") for path in come if path not in taken]
+                found.append((path, "removed", None))
+        return found + [(path, "added", None) for path in come if path not in taken]
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -121,12 +122,14 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_PASS_ARROW = pa.schema([("part", pa.int32()), ("pos", pa.int64()), ("file_id", pa.int64()), ("file_name", pa.string()), ("body", pa.string()), ("field_path", pa.string()), ("change", pa.string())])
-_CHANGES_ARROW = pa.schema([("file_id", pa.int64()), ("field_path", pa.string()), ("change", pa.string())])
+_STEP_FIELDS = [("field_path", pa.string()), ("change", pa.string()), ("partner", pa.string()), ("before", pa.string()), ("layout", pa.string())]
+_PASS_ARROW = pa.schema([("border", pa.bool_()), ("part", pa.int32()), ("pos", pa.int64()), ("file_id", pa.int64()), ("file_name", pa.string()), ("body", pa.string()), *_STEP_FIELDS])
+_STEPS_ARROW = pa.schema([("file_id", pa.int64()), *_STEP_FIELDS])
 
 
 def _compare_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, layouts, before, last, seen = TaskContext.get().partitionId(), Layouts(), None, None, 0
+    nothing = (None,) * len(_STEP_FIELDS)
     for batch in batches:
         out = []
         for file_id, name, body in zip(*(batch.column(c).to_pylist() for c in ("file_id", "file_name", "body")), strict=True):
@@ -135,13 +138,13 @@ def _compare_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             fields = paths_of(value)
             now = (layouts.fingerprint(fields), fields)
             if before is None:
-                out.append((part, 0, file_id, name, body, None, None))
+                out.append((True, part, 0, file_id, name, body, *nothing))
             elif name is not None and name == last[1]:
-                out += [(None, None, file_id, None, None, path, change) for path, change in layouts.changes(before, now)]
+                out += [(False, None, None, file_id, None, None, *step, before[0], now[0]) for step in layouts.changes(before, now)]
             before, last, seen = now, (file_id, name, body), seen + 1
         yield _rows(out, _PASS_ARROW)
     if last is not None:
-        yield _rows([(part, seen, *last, None, None)], _PASS_ARROW)
+        yield _rows([(True, part, seen, *last, *nothing)], _PASS_ARROW)
 
 
 def _compare_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +155,50 @@ def _compare_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             fields = paths_of(read_object(body))
             now = (part, name, (layouts.fingerprint(fields), fields))
             if before is not None and before[0] != part and name is not None and name == before[1]:
-                out += [(file_id, path, change) for path, change in layouts.changes(before[2], now[2])]
+                out += [(file_id, *step, before[2][0], now[2][0]) for step in layouts.changes(before[2], now[2])]
             before = now
-        yield _rows(out, _CHANGES_ARROW)
+        yield _rows(out, _STEPS_ARROW)
+
+
+def recorded_steps(files: DataFrame) -> DataFrame:
+    """(file_id, field_path, change, partner, before, layout): each step a file took from the layout before it to its own.
+
+    The step between two layouts is kept by their fingerprints; see `schema_changes` for what counts.
+    """
+    order = ["file_name", "written_at", "file_id"]
+    files = files.select(*order, "body").where("body is not null")
+    sorted_ = files.repartitionByRange(*order).sortWithinPartitions(*order)
+    passed = written(sorted_.mapInArrow(_compare_stream, _PASS), "schema-changes", by="border")
+    fields = ["file_id", "field_path", "change", "partner", "before", "layout"]
+    # Border rows lie in files of their own, two rows a task of the pass; no other row is read here.
+    borders = passed.where("border").select("part", "pos", "file_id", "file_name", "body")
+    across = borders.coalesce(1).sortWithinPartitions("part", "pos").mapInArrow(_compare_borders, STEPS)
+    return passed.where("not border").select(*fields).unionByName(across)
+
+
+def migration_steps(files: DataFrame) -> DataFrame:
+    """(before, layout, change, field_path, partner, n_files): the steps between layouts, and how many files took each."""
+    return recorded_steps(files).groupBy("before", "layout", "change", "field_path", "partner").agg(F.count("*").alias("n_files"))
+
+
+def newest_path(path: str) -> str:
+    """Where the migrations move a path; a path they don't know stays."""
+    for _, rule, old, new in MIGRATIONS:
+        if rule == "rename" and (path == old or path.startswith(f"{old}.")):
+            path = new + path[len(old) :]
+    return path
+
+
+def unknown_renames(files: DataFrame) -> DataFrame:
+    """(partner, field_path, n_files) of the renames between files that the migrations don't lead to one path: rules to write."""
+    pairs = recorded_steps(files).where("change = 'renamed'").groupBy("partner", "field_path").agg(F.count("*").alias("n_files"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = [newest_path(a) != newest_path(b) for a, b in zip(batch.column("partner").to_pylist(), batch.column("field_path").to_pylist(), strict=True)]
+            yield batch.filter(pa.array(apart, pa.bool_()))
+
+    return pairs.mapInArrow(check, "partner string, field_path string, n_files bigint")
 
 
 def schema_changes(files: DataFrame) -> DataFrame:
@@ -164,18 +208,11 @@ def schema_changes(files: DataFrame) -> DataFrame:
     first), then file_id. Unreadable, null and empty bodies are passed over; a file without a name has none
     before it; the first file of a name has no changes; an empty table gives no rows.
     """
-    order = ["file_name", "written_at", "file_id"]
-    files = files.select(*order, "body").where("body is not null")
-    sorted_ = files.repartitionByRange(*order).sortWithinPartitions(*order)
-    passed = written(sorted_.mapInArrow(_compare_stream, _PASS), "schema-changes")
-    inside = passed.where("change is not null").select("file_id", "field_path", "change")
-    borders = passed.where("part is not null").select("part", "pos", "file_id", "file_name", "body")
-    across = borders.coalesce(1).sortWithinPartitions("part", "pos").mapInArrow(_compare_borders, CHANGES)
-    return inside.unionByName(across)
+    return recorded_steps(files).select("file_id", "field_path", "change")
 
 
-# The steps from each known layout to the newest one, oldest first. Each is a version that some
-# files were written in; a file may need any of them, so all are tried in this order.
+# The steps from each known version to the next one, oldest first. A layout, known by its fingerprint,
+# needs a chain of them, which is found with the first file of the layout and which all its files go through.
 MIGRATIONS = [
     ("v2", "rename", "libs", "versions"),
     ("v2", "rename", "sampling_params", "sampling"),
@@ -249,23 +286,49 @@ def cast(value: object, kind: str) -> object:
     return int(number) if kind == "bigint" else number
 
 
-def migrate(value: dict) -> tuple[dict[str, object], list[str], dict[str, object]]:
-    """(a value for each column, the steps taken, what no column holds)."""
-    value, taken = json.loads(json.dumps(value)), []
-    for version, rule, path, to in MIGRATIONS:
-        if rule == "rename":
+class Routes:
+    """The chain of migrations of each layout a task has met, by fingerprint.
+
+    Whether a rule applies depends on which paths there are and on which are null or objects, and that is what a
+    fingerprint stands for, so one file of a layout tells for all.
+    """
+
+    def __init__(self) -> None:
+        self.chains: dict[str, list[tuple]] = {}
+
+    def migrate(self, layout: str, value: dict) -> tuple[dict[str, object], list[str], dict[str, object]]:
+        """(a value for each column, the steps taken, what no column holds)."""
+        chain = self.chains.get(layout)
+        row, taken, left, needed = migrate(value, MIGRATIONS if chain is None else chain)
+        if chain is None and len(self.chains) < 10_000:
+            self.chains[layout] = needed
+        return row, taken, left
+
+
+def migrate(value: dict, rules: list[tuple]) -> tuple[dict[str, object], list[str], dict[str, object], list[tuple]]:
+    """(a value for each column, the steps taken, what no column holds, the rules that applied)."""
+    value, taken, needed = json.loads(json.dumps(value)), [], []
+    for rule in rules:
+        version, kind, path, to = rule
+        if kind == "rename":
             there, inner = _take(value, path)
-            if there and (held := _look(value, to)) is None:
+            held = _look(value, to) if there else None
+            if there and held is None:
                 _put(value, to, inner)
-                taken.append(f"{version}:rename:{path}->{to}")
             elif there and isinstance(held, dict) and isinstance(inner, dict):
                 held.update({k: v for k, v in inner.items() if k not in held})
-                taken.append(f"{version}:rename:{path}->{to}")
             elif there:
                 _put(value, path, inner)
+                continue
+            else:
+                continue
+            taken.append(f"{version}:rename:{path}->{to}")
         elif _look(value, path) is None:
             _put(value, path, to)
             taken.append(f"{version}:default:{path}")
+        else:
+            continue
+        needed.append(rule)
     row: dict[str, object] = {}
     for path, kind in COLUMNS.items():
         there, inner = _take(value, path)
@@ -287,7 +350,7 @@ def migrate(value: dict) -> tuple[dict[str, object], list[str], dict[str, object
             _put(value, path, inner)
             taken.append(f"v6:kept aside:{path}")
     left = {k: v for k, v in value.items() if v not in ({}, None)}
-    return row, taken, left
+    return row, taken, left, needed
 
 
 _TYPES = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_()}
@@ -310,13 +373,15 @@ def consistent_table(files: DataFrame) -> DataFrame:
     schema = TABLE.replace("written_at timestamp_ntz", f"written_at {at}")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        routes = Routes()
         for batch in batches:
             rows, layouts, steps, other = [], [], [], []
             for body in batch.column("body").to_pylist():
                 value = read_object(body)
-                row, taken, left = migrate(value) if value is not None else (None, None, None)
+                layout = Layouts.fingerprint(paths_of(value)) if value is not None else None
+                row, taken, left = routes.migrate(layout, value) if value is not None else (None, None, None)
                 rows.append(row)
-                layouts.append(Layouts.fingerprint(paths_of(value)) if value is not None else None)
+                layouts.append(layout)
                 steps.append(taken)
                 other.append(json.dumps(left, sort_keys=True) if left else None)
             columns = [batch.column(c) for c in ("file_id", "file_name", "written_at")]
@@ -329,6 +394,20 @@ def consistent_table(files: DataFrame) -> DataFrame:
     return files.select("file_id", "file_name", "written_at", "body").mapInArrow(convert, schema)
 
 
+def layout_registry(files: DataFrame) -> DataFrame:
+    """(layout, version, chain, n_files): each layout's fingerprint, the version its files are of, and the steps that lead to the newest.
+
+    A layout is of the version before the first step it needs; one that needs none is of the newest. Casts and
+    unwrapped values belong to single files and aren't part of a chain.
+    """
+    table = consistent_table(files).where("readable")
+    chain = F.filter("steps", lambda s: s.contains(":rename:") | s.contains(":default:"))
+    first = F.array_min(F.transform(chain, lambda s: F.substring_index(F.substring(s, 2, 9), ":", 1).cast("int")))
+    newest = max(int(version[1:]) for version, *_ in MIGRATIONS)
+    named = table.select("layout", chain.alias("chain"), F.coalesce(first - 1, F.lit(newest)).alias("version"))
+    return named.groupBy("layout").agg(F.min("version").alias("version"), F.min("chain").alias("chain"), F.count("*").alias("n_files"))
+
+
 def layouts_in_use(files: DataFrame) -> DataFrame:
     """(layout, n_files, first_written, last_written) of each layout fingerprint among the readable files."""
     table = consistent_table(files).where("readable").select("layout", "written_at")

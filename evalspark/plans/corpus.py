@@ -33,11 +33,27 @@ def p4_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.layouts_in_use(table(spark, sf_dir, "completion_metas"))
 
 
+def p4_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps between layouts, and how many files took each."""
+    return schema_drift.migration_steps(table(spark, sf_dir, "completion_metas"))
+
+
+def p4_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layouts with their versions and chains of migrations."""
+    found = schema_drift.layout_registry(table(spark, sf_dir, "completion_metas"))
+    return found.select("layout", "version", F.array_join("chain", ",").alias("chain"), "n_files")
+
+
+def p4_unknown_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renames between files that no migration covers."""
+    return schema_drift.unknown_renames(table(spark, sf_dir, "completion_metas"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.linked_children(table(spark, sf_dir, "episodes"), table(spark, sf_dir, "report_files"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_by_batch": p2_by_batch, "p4_found": p4_found, "p4_table": p4_table, "p4_layouts": p4_layouts, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_by_batch": p2_by_batch, "p4_found": p4_found, "p4_table": p4_table, "p4_layouts": p4_layouts, "p4_steps": p4_steps, "p4_registry": p4_registry, "p4_unknown_renames": p4_unknown_renames, "p5_found": p5_found}
 
 _KEYED = """
     SELECT delivery_id, batch_file,
@@ -51,12 +67,7 @@ _DROPPED = f"""
         FROM ({_KEYED}) WHERE fp <> '' AND task <> '' AND seed IS NOT NULL AND ms IS NOT NULL
     ) WHERE rn > 1"""
 
-ORACLES = {
-    "p2_found": _DROPPED,
-    "p2_by_batch": f"""
-        SELECT batch_file, count(*) AS n_deliveries, count(d.delivery_id) AS n_repeated
-        FROM free_log f LEFT JOIN ({_DROPPED}) d ON f.delivery_id = d.delivery_id GROUP BY batch_file""",
-    "p4_found": r"""
+_DRIFT = r"""
     WITH f AS (SELECT file_id, file_name, lag(file_id) OVER (PARTITION BY file_name ORDER BY written_at, file_id) AS before, body FROM (SELECT file_id, file_name, written_at, try_cast(body AS json) AS body FROM completion_metas) WHERE json_type(body) = 'OBJECT' AND file_name IS NOT NULL),
     t AS (SELECT f.file_id, replace(substr(e.fullkey, 3), '"', '') AS p, CASE e.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS k,
         CASE WHEN e.type IN ('OBJECT', 'ARRAY') THEN NULL WHEN e.type IN ('VARCHAR', 'BOOLEAN') THEN e.value::varchar ELSE try_cast(e.value::varchar AS double)::varchar END AS v, e.value AS raw
@@ -64,11 +75,22 @@ ORACLES = {
     n AS (SELECT file_id, p, k, CASE WHEN k = 'array' THEN raw::varchar WHEN k = 'object' THEN (SELECT coalesce(string_agg(substr(u.p, length(t.p) + 1) || '=' || u.k || ':' || coalesce(u.v, CASE WHEN u.k = 'array' THEN u.raw::varchar ELSE '' END), chr(10) ORDER BY u.p), '') FROM t u WHERE u.file_id = t.file_id AND starts_with(u.p, t.p || '.')) ELSE v END AS v FROM t),
     o AS (SELECT f.file_id, n.p, n.k, n.v FROM f JOIN n ON n.file_id = f.before), w AS (SELECT f.file_id, n.p, n.k, n.v FROM f JOIN n ON n.file_id = f.file_id WHERE f.before IS NOT NULL),
     g AS (SELECT o.*, row_number() OVER (PARTITION BY o.file_id, o.k, o.v ORDER BY o.p) AS i FROM o ANTI JOIN w ON o.file_id = w.file_id AND o.p = w.p), c AS (SELECT w.*, row_number() OVER (PARTITION BY w.file_id, w.k, w.v ORDER BY w.p) AS i FROM w ANTI JOIN o ON o.file_id = w.file_id AND o.p = w.p),
-    m AS (SELECT g.file_id, g.p AS old, c.p AS new FROM g JOIN c ON g.file_id = c.file_id AND g.k = c.k AND g.v = c.v AND g.i = c.i WHERE g.k <> 'null')
-    SELECT o.file_id, o.p AS field_path, 'retyped' AS change FROM o JOIN w ON o.file_id = w.file_id AND o.p = w.p WHERE o.k <> w.k AND 'null' NOT IN (o.k, w.k)
-    UNION ALL SELECT file_id, new, 'renamed' FROM m
-    UNION ALL SELECT file_id, p, 'removed' FROM g WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = g.file_id AND m.old = g.p)
-    UNION ALL SELECT file_id, p, 'added' FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = c.file_id AND m.new = c.p)""",
+    m AS (SELECT g.file_id, g.p AS old, c.p AS new FROM g JOIN c ON g.file_id = c.file_id AND g.k = c.k AND g.v = c.v AND g.i = c.i WHERE g.k <> 'null'),
+    s AS (
+    SELECT o.file_id, o.p AS field_path, 'retyped' AS change, NULL::varchar AS partner FROM o JOIN w ON o.file_id = w.file_id AND o.p = w.p WHERE o.k <> w.k AND 'null' NOT IN (o.k, w.k)
+    UNION ALL SELECT file_id, new, 'renamed', old FROM m
+    UNION ALL SELECT file_id, p, 'removed', NULL FROM g WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = g.file_id AND m.old = g.p)
+    UNION ALL SELECT file_id, p, 'added', NULL FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = c.file_id AND m.new = c.p))"""
+
+ORACLES = {
+    "p2_found": _DROPPED,
+    "p2_by_batch": f"""
+        SELECT batch_file, count(*) AS n_deliveries, count(d.delivery_id) AS n_repeated
+        FROM free_log f LEFT JOIN ({_DROPPED}) d ON f.delivery_id = d.delivery_id GROUP BY batch_file""",
+    "p4_found": f"{_DRIFT} SELECT file_id, field_path, change FROM s",
+    "p4_steps": f"""{_DRIFT},
+    y AS (SELECT file_id, substr(sha256(string_agg(p || chr(9) || k, chr(10) ORDER BY p || chr(9) || k)), 1, 16) AS l FROM t GROUP BY 1)
+    SELECT b.l AS before, n.l AS layout, change, field_path, partner, count(*) AS n_files FROM s JOIN f USING (file_id) JOIN y b ON b.file_id = f.before JOIN y n ON n.file_id = s.file_id GROUP BY 1, 2, 3, 4, 5""",
     "p4_layouts": r"""
     WITH f AS (SELECT file_id, written_at, body FROM (SELECT file_id, written_at, try_cast(body AS json) AS body FROM completion_metas) WHERE json_type(body) = 'OBJECT'),
     t AS (SELECT f.file_id, replace(substr(e.fullkey, 3), '"', '') || chr(9) || CASE e.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS p

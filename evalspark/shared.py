@@ -58,11 +58,41 @@ def drop_path(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once as a Parquet table in the shared folder and read back: the plan starts anew, columns prune."""
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file, null if there is none."""
+    files, target = _files(spark, path)
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, written beside its place and renamed, so that a reader never meets half of it."""
+    files, target = _files(spark, path)
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target.getParent().toString()}/.{uuid.uuid4().hex[:12]}")
+    stream = files.create(new, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if files.exists(target):
+        files.delete(target, False)
+    files.rename(new, target)
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """`df` written once as a Parquet table in the shared folder and read back: the plan starts anew, columns prune.
+
+    With `by` the rows of each value of that column lie in files of their own, so a filter on it reads no others.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -47,9 +47,36 @@ def test_batches_in_any_order_keep_the_smallest(spark):
 
     rows = log(spark, 300, seed=5)
     df = spark.createDataFrame(rows, SCHEMA).select("delivery_id", delivery.message_key().alias("key"))
-    index = delivery.DeliveryIndex(spark, new_path(spark, "test-index"), 300, per_prefix=10, merge_every=3)
+    index = delivery.DeliveryIndex(spark, new_path(spark, "test-index"), per_prefix=0.25, merge_every=3)
     for low in (750, 0, 500, 250):
         index.ingest(df.where(f"delivery_id between {low} and {low + 249}"))
     kept = {r.delivery_id for r in index.kept().collect()}
     whole = {r.delivery_id for r in df.where("key is not null").collect()}
     assert whole - kept == brute(rows)
+    assert index.prefixes > 16
+
+
+def test_an_index_is_opened_again(spark, tmp_path):
+    """The second part comes in a session of its own, which knows the root only."""
+    rows = log(spark, 500, seed=9)
+    parts = [[r for r in rows if r[0] % 2 == 0], [r for r in rows if r[0] % 2 == 1]]
+    root = f"file://{tmp_path}/index"
+    first = {r.delivery_id for r in delivery.repeated_deliveries(spark.createDataFrame(parts[0], SCHEMA), 2, root).collect()}
+    other = spark.newSession()
+    second = delivery.repeated_deliveries(other.createDataFrame(parts[1], SCHEMA), 2, root)
+    dropped = first | {r.delivery_id for r in second.collect()}
+    # A message whose smaller delivery came later is replaced in the index: its earlier row was already handed on.
+    late = {d for d in brute(rows) - dropped}
+    keys = {r.delivery_id: r.key for r in spark.createDataFrame(rows, SCHEMA).select("delivery_id", delivery.message_key().alias("key")).collect()}
+    assert dropped <= brute(rows) and all(d % 2 == 0 for d in late)
+    assert {keys[d] for d in late} <= {keys[r[0]] for r in parts[1]}
+    index = delivery.DeliveryIndex(other, root)
+    assert index.size == len({k for k in keys.values() if k is not None})
+
+
+def test_prefixes_are_the_same_everywhere(spark):
+    import numpy as np
+
+    df = spark.createDataFrame(log(spark, 50), SCHEMA).select(delivery.message_key().alias("key")).where("key is not null").select("key", delivery.prefix_of(delivery.F.col("key"), 64).alias("p"))
+    got = df.collect()
+    assert list(delivery._prefixes(np.array([bytes(r.key) for r in got], "S16"), 64)) == [r.p for r in got]

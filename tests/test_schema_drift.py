@@ -71,7 +71,7 @@ def test_no_rows_and_unreadable_only(spark):
 
 def changes(old, new):
     one, two = sd.paths_of(old), sd.paths_of(new)
-    return sorted(sd.Layouts().changes((sd.Layouts.fingerprint(one), one), (sd.Layouts.fingerprint(two), two)))
+    return sorted(step[:2] for step in sd.Layouts().changes((sd.Layouts.fingerprint(one), one), (sd.Layouts.fingerprint(two), two)))
 
 
 def test_rules():
@@ -92,3 +92,22 @@ def test_consistent_table(spark):
     assert "v2:rename:libs->versions" in row.steps and "v6:kept aside:max_model_len" in row.steps
     assert not out[2].readable and not out[3].readable and out[4].sampling_samples == 1
     assert {r.n_files for r in sd.layouts_in_use(frame(spark, rows)).collect()} == {1}
+
+
+def test_files_of_a_layout_take_one_chain():
+    routes = sd.Routes()
+    for i, body in enumerate([{"seed": 1, "sampling": {"n": 2}}, {"seed": 5, "sampling": {"n": None}}, {"seed": 9, "sampling": {"n": 4}}]):
+        layout = sd.Layouts.fingerprint(sd.paths_of(body))
+        row, taken, left = routes.migrate(layout, body)
+        full_row, full_taken, full_left, _ = sd.migrate(body, sd.MIGRATIONS)
+        assert (row, taken, left) == (full_row, full_taken, full_left), i
+    assert len(routes.chains) == 2 and all(len(chain) < len(sd.MIGRATIONS) for chain in routes.chains.values())
+
+
+def test_registry_and_unknown_renames(spark):
+    rows = [(1, "a", 0, json.dumps({"libs": {"vllm": "1"}, "odd": 5})), (2, "a", 1, json.dumps({"versions": {"vllm": "1"}, "even": 5})), (3, "b", 0, json.dumps({"versions": {"vllm": "2"}, "sampling": {"samples": 3}}))]
+    found = {r.version: r.chain for r in sd.layout_registry(frame(spark, rows)).collect()}
+    assert found[1] == ["v2:rename:libs->versions", "v6:default:sampling.samples"] and found[6] == []
+    assert [tuple(r) for r in sd.unknown_renames(frame(spark, rows)).collect()] == [("odd", "even", 1)]
+    steps = {(r.change, r.partner, r.field_path): r.n_files for r in sd.migration_steps(frame(spark, rows)).collect()}
+    assert steps[("renamed", "odd", "even")] == 1 and steps[("renamed", "libs", "versions")] == 1
