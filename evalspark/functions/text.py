@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The characters with Unicode's property White_Space.
+WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(column: Column) -> Column:
-    """Without surrounding white space of any Unicode kind (Spark's trim knows only the blank)."""
-    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+    """Without surrounding white space of any Unicode kind (Spark's trim alone knows only the blank)."""
+    return F.btrim(column, F.lit(WHITE_SPACE))
 
 
 def folded(column: Column) -> Column:
@@ -17,8 +21,9 @@ def folded(column: Column) -> Column:
 
 def number_text(column: Column) -> Column:
     """A number stored as text: stripped, without leading zeros; blank becomes null."""
-    text = F.regexp_replace(folded(column), r"^0+(?=.)", "")
-    return F.when(text != "", text)
+    text = folded(column)
+    bare = F.ltrim(text, F.lit("0"))
+    return F.when(bare != "", bare).when(text != "", F.lit("0"))
 
 
 def whole_number(column: Column) -> Column:

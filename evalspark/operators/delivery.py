@@ -194,7 +194,8 @@ def index_log(log: DataFrame, batches: int = 4, root: str | None = None, batch:
     """
     spark = log.sparkSession
     part = F.pmod(F.xxhash64(batch), F.lit(batches)).cast("int") if batch in log.columns else F.pmod(F.col("delivery_id"), F.lit(batches)).cast("int")
-    keyed = written(log.select("delivery_id", message_key().alias("key"), part.alias("part")).where("key is not null"), "delivery-keys", by="part")
+    # Rows without a key are left out when they are read: filtered before, the key would be worked out twice.
+    keyed = written(log.select("delivery_id", message_key().alias("key"), part.alias("part")), "delivery-keys", by="part").where("key is not null")
     index = DeliveryIndex(spark, root or new_path(spark, "delivery-index"))
     for number in range(batches):
         index.ingest(keyed.where(F.col("part") == number).select("delivery_id", "key"))
