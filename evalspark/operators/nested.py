@@ -202,14 +202,18 @@ def index_texts(texts: list[str | None]) -> tuple[Nodes, np.ndarray]:
     return nodes, rows
 
 
-def first_level_keys(texts: list[str | None]) -> list[list[str]]:
-    """For each text the keys of the object it holds, each once; none if it holds no object."""
+def first_level(texts: list[str | None], values: bool = False) -> list[dict[str, str | None]]:
+    """For each text the keys of the object it holds, each once; none if it holds no object. With `values` the last value's text."""
     nodes, _ = index_texts(texts)
     objects = (nodes.parent < 0) & (nodes.first() == ord("{")) if len(nodes.row) else np.empty(0, bool)
-    found: list[dict[str, None]] = [{} for _ in texts]
+    found: list[dict[str, str | None]] = [{} for _ in texts]
     for node in np.flatnonzero(nodes.below(objects)) if len(objects) else ():
-        found[nodes.row[node]][nodes.key(node)] = None
-    return [list(x) for x in found]
+        found[nodes.row[node]][nodes.key(node)] = nodes.text(node) if values else None
+    return found
+
+
+def first_level_keys(texts: list[str | None]) -> list[list[str]]:
+    return [list(x) for x in first_level(texts)]
 
 
 def _members(nodes: Nodes, holder: np.ndarray, name_key: str, nested: list) -> Iterator[tuple[int, int, str, Nodes, int]]:
@@ -231,22 +235,24 @@ def _members(nodes: Nodes, holder: np.ndarray, name_key: str, nested: list) -> I
             yield int(nodes.row[strings[row]]), int(strings[row]), name, inner_nodes, node
 
 
-def report_children(kinds: list[str | None], texts: list[str | None]) -> list[tuple[int, str, str]]:
-    """(row, child, path) of report bodies."""
+def report_children(kinds: list[str | None], texts: list[str | None], values: bool = False) -> dict[tuple[int, str, str], str | None]:
+    """(row, child, path) of report bodies, each once; with `values` the text of each child."""
     nodes, rows = index_texts(texts)
     if not len(rows):
-        return []
+        return {}
     names = np.array([(k or "").strip().lower() for k in kinds])[nodes.row]
     forced = names == "forced"
     root = nodes.parent < 0
-    found: dict[tuple[int, str, str], None] = {}
+    found: dict[tuple[int, str, str], str | None] = {}
+    text = (lambda where, node: where.text(node)) if values else (lambda where, node: None)
 
     labels = nodes.below(root & forced & (nodes.first() == ord("{"))) & nodes.has_key("labels")
     for row, _, name, where, node in _members(nodes, labels, "label", []):
-        found[row, "label", name] = None
+        found[row, "label", name] = text(where, node)
         inner = _children(where, node)
-        if len(inner) and (where.has_key("step_agreement_by_episode")[inner] & ~where.is_null()[inner]).any():
-            found[row, "interval", f"{name}/step_agreement_by_episode"] = None
+        held = inner[where.has_key("step_agreement_by_episode")[inner] & ~where.is_null()[inner]] if len(inner) else inner
+        if len(held):
+            found[row, "interval", f"{name}/step_agreement_by_episode"] = text(where, held[-1])
 
     compare = root & (names == "compare")
     lists = compare & (nodes.first() == ord("["))
@@ -260,11 +266,11 @@ def report_children(kinds: list[str | None], texts: list[str | None]) -> list[tu
     comparisons = items | single
     place = np.where(single, 0, nodes.position)
     for node in np.flatnonzero(comparisons):
-        found[int(nodes.row[node]), "comparison", str(place[node])] = None
+        found[int(nodes.row[node]), "comparison", str(place[node])] = text(nodes, node)
     rates = nodes.below(comparisons) & nodes.has_key("rates")
-    for row, holder, name, _, _ in _members(nodes, rates, "name", []):
-        found[row, "rate", f"{place[nodes.parent[holder]]}/{name}"] = None
-    return list(found)
+    for row, holder, name, where, node in _members(nodes, rates, "name", []):
+        found[row, "rate", f"{place[nodes.parent[holder]]}/{name}"] = text(where, node)
+    return found
 
 
 def _children(nodes: Nodes, node: int) -> np.ndarray:
@@ -346,3 +352,72 @@ def linked_children(episodes: DataFrame, reports: DataFrame) -> DataFrame:
     object have no `argument` rows; a key that an object repeats gives one row; empty tables give no rows.
     """
     return episode_rows(episodes).unionByName(report_rows(reports))
+
+
+def message_table(episodes: DataFrame) -> DataFrame:
+    """One row a message: its episode, its position there and its own fields."""
+    rows = episodes.select("episode_id", F.posexplode("messages").alias("position", "m")).where("m is not null")
+    return rows.select("episode_id", "position", "m.role", "m.content", "m.error", "m.turn_idx", F.col("m.usage.completion_tokens").alias("completion_tokens"))
+
+
+def call_table(episodes: DataFrame) -> DataFrame:
+    """One row a tool call: its episode, message and position there, and its own fields."""
+    rows = episodes.select("episode_id", F.posexplode("messages").alias("position", "m")).select("episode_id", "position", F.posexplode("m.tool_calls").alias("call", "c")).where("c is not null")
+    return rows.select("episode_id", "position", "call", "c.id", "c.name", "c.arguments")
+
+
+# The kind of a JSON value by its first character; everything else is a number.
+_KIND_OF = {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}
+ARGUMENTS = "episode_id bigint, position int, call int, argument string, kind string, value string"
+
+
+def argument_table(episodes: DataFrame) -> DataFrame:
+    """One row an argument of a tool call: its episode, message and call, its kind, and its value: a string's text, other values as JSON."""
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch.column(c).to_pylist() for c in ("episode_id", "position", "call")]
+            texts, out = batch.column("arguments").to_pylist(), []
+            for part in slices(texts):
+                for at, members in enumerate(first_level(texts[part], values=True), part.start):
+                    for name, value in members.items():
+                        kind = _KIND_OF.get(value[:1], "number")
+                        out.append((*(k[at] for k in keys), name, kind, json.loads(value, strict=False) if kind == "string" else value))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in ARGUMENTS.split(", ")])
+
+    return call_table(spread(episodes)).select("episode_id", "position", "call", "arguments").where("arguments is not null").mapInArrow(convert, ARGUMENTS)
+
+
+def report_values(reports: DataFrame) -> DataFrame:
+    """(report_id, child, path, value): the labels, intervals, comparisons and rates of report bodies with their JSON."""
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, kinds, bodies = (batch.column(c).to_pylist() for c in ("report_id", "report_kind", "body"))
+            for part in slices(bodies):
+                rows = [(ids[part][row], child, path, value) for (row, child, path), value in report_children(kinds[part], bodies[part], values=True).items()]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["report_id", "child", "path", "value"])
+
+    return spread(reports.select("report_id", "report_kind", "body").where("body is not null")).mapInArrow(convert, "report_id bigint, child string, path string, value string")
+
+
+def label_table(reports: DataFrame) -> DataFrame:
+    """One row a label of a forced report: its report, its step agreement, and the interval by episode as JSON; null where a report has none."""
+    values = report_values(reports).where("child in ('label', 'interval')")
+    label = F.when(F.col("child") == "label", F.col("path")).otherwise(F.regexp_replace("path", "/step_agreement_by_episode$", ""))
+    of = lambda child, value: F.max(F.when(F.col("child") == child, value))
+    agreement = F.get_json_object("value", "$.step_agreement").try_cast("double")
+    return values.groupBy("report_id", label.alias("label")).agg(of("label", agreement).alias("step_agreement"), of("interval", F.col("value")).alias("by_episode"))
+
+
+RATE_FIELDS = ["n_steps", "base", "new", "delta", "ci95_low", "ci95_high"]
+
+
+def rate_table(reports: DataFrame) -> DataFrame:
+    """One row a rate of a comparison: its report, the comparison's position, and its numbers; what isn't a number is null."""
+    values = report_values(reports).where("child = 'rate'")
+    numbers = [F.get_json_object("value", f"$.{f}").try_cast("double").alias(f) for f in RATE_FIELDS]
+    return values.select("report_id", F.substring_index("path", "/", 1).cast("int").alias("comparison"), F.expr("substring(path, instr(path, '/') + 1)").alias("rate"), *numbers)

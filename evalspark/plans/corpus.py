@@ -53,7 +53,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.linked_children(table(spark, sf_dir, "episodes"), table(spark, sf_dir, "report_files"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_by_batch": p2_by_batch, "p4_found": p4_found, "p4_table": p4_table, "p4_layouts": p4_layouts, "p4_steps": p4_steps, "p4_registry": p4_registry, "p4_unknown_renames": p4_unknown_renames, "p5_found": p5_found}
+def p5_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of messages, contents as length and hash."""
+    rows = nested.message_table(table(spark, sf_dir, "episodes"))
+    return rows.select("episode_id", "position", "role", F.length("content").alias("chars"), F.md5(F.coalesce("content", F.lit("")).cast("binary")).alias("hash"), "error", "turn_idx", "completion_tokens")
+
+
+def p5_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.call_table(table(spark, sf_dir, "episodes"))
+
+
+def p5_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of arguments; nested and null values by their kind alone."""
+    rows = nested.argument_table(table(spark, sf_dir, "episodes"))
+    return rows.withColumn("value", F.when(F.col("kind").isin("string", "number", "boolean"), F.col("value")))
+
+
+def p5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = nested.label_table(table(spark, sf_dir, "report_files"))
+    return rows.select("report_id", "label", "step_agreement", F.col("by_episode").isNotNull().alias("has_interval"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.rate_table(table(spark, sf_dir, "report_files"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_by_batch": p2_by_batch, "p4_found": p4_found, "p4_table": p4_table, "p4_layouts": p4_layouts, "p4_steps": p4_steps, "p4_registry": p4_registry, "p4_unknown_renames": p4_unknown_renames, "p5_found": p5_found, "p5_messages": p5_messages, "p5_calls": p5_calls, "p5_arguments": p5_arguments, "p5_labels": p5_labels, "p5_rates": p5_rates}
 
 _KEYED = """
     SELECT delivery_id, batch_file,
@@ -82,6 +107,22 @@ _DRIFT = r"""
     UNION ALL SELECT file_id, p, 'removed', NULL FROM g WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = g.file_id AND m.old = g.p)
     UNION ALL SELECT file_id, p, 'added', NULL FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.file_id = c.file_id AND m.new = c.p))"""
 
+_NESTED = r"""
+    WITH m AS (SELECT episode_id, i, messages[i + 1] AS m FROM episodes, unnest(range(len(messages))) AS t(i) WHERE messages[i + 1] IS NOT NULL),
+    c AS (SELECT episode_id, i, j, m.tool_calls[j + 1] AS c FROM m, unnest(range(len(m.tool_calls))) AS t(j) WHERE m.tool_calls[j + 1] IS NOT NULL),
+    p AS (SELECT episode_id, i, j, try_cast(c.arguments AS json) AS a FROM c),
+    a AS (SELECT episode_id, i, j, CASE WHEN json_type(a) = 'VARCHAR' THEN try_cast(a->>'$' AS json) ELSE a END AS a FROM p),
+    k AS (SELECT DISTINCT episode_id, i, j, unnest(json_keys(a)) AS k FROM a WHERE json_type(a) = 'OBJECT'),
+    r AS (SELECT report_id, report_kind AS kind, try_cast(body AS json) AS b FROM report_files),
+    l0 AS (SELECT report_id, b->'labels' AS l FROM r WHERE kind = 'forced' AND json_type(b) = 'OBJECT'),
+    l AS (SELECT report_id, CASE WHEN json_type(l) = 'VARCHAR' THEN try_cast(l->>'$' AS json) ELSE l END AS l FROM l0),
+    lb AS (SELECT report_id, key AS name, value AS v FROM (SELECT report_id, e.key, e.value FROM l, json_each(l.l) AS e WHERE json_type(l.l) = 'OBJECT') WHERE json_type(value) <> 'NULL'
+        UNION ALL SELECT report_id, e.value->>'label', e.value FROM l, json_each(l.l) AS e WHERE json_type(l.l) = 'ARRAY' AND json_type(e.value->'label') = 'VARCHAR'),
+    q AS (SELECT report_id, CASE WHEN json_type(b) = 'OBJECT' AND json_exists(b, '$.comparisons') THEN b->'comparisons' WHEN json_type(b) = 'OBJECT' THEN json_array(b) ELSE b END AS q FROM r WHERE kind = 'compare'),
+    cm AS (SELECT report_id, e.key::bigint AS n, e.value AS v FROM q, json_each(q.q) AS e WHERE json_type(q.q) = 'ARRAY' AND json_type(e.value) <> 'NULL'),
+    rt AS (SELECT report_id, n, CASE WHEN json_type(v->'rates') = 'VARCHAR' THEN try_cast(v->>'rates' AS json) ELSE v->'rates' END AS r FROM cm),
+    rn AS (SELECT report_id, n, e.key AS name, e.value AS v FROM rt, json_each(rt.r) AS e WHERE json_type(rt.r) = 'OBJECT' AND json_type(e.value) <> 'NULL' UNION ALL SELECT report_id, n, e.value->>'name', e.value FROM rt, json_each(rt.r) AS e WHERE json_type(rt.r) = 'ARRAY' AND json_type(e.value->'name') = 'VARCHAR')"""
+
 ORACLES = {
     "p2_found": _DROPPED,
     "p2_by_batch": f"""
@@ -97,23 +138,15 @@ ORACLES = {
         FROM f, json_tree(f.body) AS e WHERE e.fullkey <> '$' AND NOT contains(e.fullkey, '[')),
     l AS (SELECT file_id, substr(sha256(string_agg(p, chr(10) ORDER BY p)), 1, 16) AS layout FROM t GROUP BY 1)
     SELECT layout, count(*) AS n_files, min(written_at) AS first_written, max(written_at) AS last_written FROM f JOIN l USING (file_id) GROUP BY 1""",
-    "p5_found": r"""
-    WITH m AS (SELECT episode_id, i, messages[i + 1] AS m FROM episodes, unnest(range(len(messages))) AS t(i) WHERE messages[i + 1] IS NOT NULL),
-    c AS (SELECT episode_id, i, j, m.tool_calls[j + 1] AS c FROM m, unnest(range(len(m.tool_calls))) AS t(j) WHERE m.tool_calls[j + 1] IS NOT NULL),
-    p AS (SELECT episode_id, i, j, try_cast(c.arguments AS json) AS a FROM c),
-    a AS (SELECT episode_id, i, j, CASE WHEN json_type(a) = 'VARCHAR' THEN try_cast(a->>'$' AS json) ELSE a END AS a FROM p),
-    k AS (SELECT DISTINCT episode_id, i, j, unnest(json_keys(a)) AS k FROM a WHERE json_type(a) = 'OBJECT'),
-    r AS (SELECT report_id, report_kind AS kind, try_cast(body AS json) AS b FROM report_files),
-    l0 AS (SELECT report_id, b->'labels' AS l FROM r WHERE kind = 'forced' AND json_type(b) = 'OBJECT'),
-    l AS (SELECT report_id, CASE WHEN json_type(l) = 'VARCHAR' THEN try_cast(l->>'$' AS json) ELSE l END AS l FROM l0),
-    lb AS (SELECT report_id, key AS name, value AS v FROM (SELECT report_id, e.key, e.value FROM l, json_each(l.l) AS e WHERE json_type(l.l) = 'OBJECT') WHERE json_type(value) <> 'NULL'
-        UNION ALL SELECT report_id, e.value->>'label', e.value FROM l, json_each(l.l) AS e WHERE json_type(l.l) = 'ARRAY' AND json_type(e.value->'label') = 'VARCHAR'),
-    q AS (SELECT report_id, CASE WHEN json_type(b) = 'OBJECT' AND json_exists(b, '$.comparisons') THEN b->'comparisons' WHEN json_type(b) = 'OBJECT' THEN json_array(b) ELSE b END AS q FROM r WHERE kind = 'compare'),
-    cm AS (SELECT report_id, e.key::bigint AS n, e.value AS v FROM q, json_each(q.q) AS e WHERE json_type(q.q) = 'ARRAY' AND json_type(e.value) <> 'NULL'),
-    rt AS (SELECT report_id, n, CASE WHEN json_type(v->'rates') = 'VARCHAR' THEN try_cast(v->>'rates' AS json) ELSE v->'rates' END AS r FROM cm),
-    rn AS (SELECT report_id, n, e.key AS name FROM rt, json_each(rt.r) AS e WHERE json_type(rt.r) = 'OBJECT' AND json_type(e.value) <> 'NULL' UNION ALL SELECT report_id, n, e.value->>'name' FROM rt, json_each(rt.r) AS e WHERE json_type(rt.r) = 'ARRAY' AND json_type(e.value->'name') = 'VARCHAR')
+    "p5_found": _NESTED + r"""
     SELECT 'episodes' AS root_table, episode_id AS root_id, 'message' AS child, i::varchar AS path FROM m
     UNION ALL SELECT 'episodes', episode_id, 'tool_call', i || '/' || j FROM c UNION ALL SELECT 'episodes', episode_id, 'argument', i || '/' || j || '/' || k FROM k
     UNION ALL SELECT DISTINCT 'report_files', report_id, 'label', name FROM lb UNION ALL SELECT DISTINCT 'report_files', report_id, 'interval', name || '/step_agreement_by_episode' FROM lb WHERE json_type(v->'step_agreement_by_episode') <> 'NULL'
     UNION ALL SELECT 'report_files', report_id, 'comparison', n::varchar FROM cm UNION ALL SELECT DISTINCT 'report_files', report_id, 'rate', n || '/' || name FROM rn""",
+    "p5_messages": _NESTED + " SELECT episode_id, i::int AS position, m.role AS role, length(m.content) AS chars, md5(coalesce(m.content, '')) AS hash, m.error AS error, m.turn_idx AS turn_idx, m.\"usage\".completion_tokens AS completion_tokens FROM m",
+    "p5_calls": _NESTED + " SELECT episode_id, i::int AS position, j::int AS call, c.id AS id, c.name AS name, c.arguments AS arguments FROM c",
+    "p5_arguments": _NESTED + """, g AS (SELECT episode_id, i, j, k, json_type(a, '$."' || k || '"') AS t, json_extract_string(a, '$."' || k || '"') AS v FROM (SELECT DISTINCT episode_id, i, j, a, unnest(json_keys(a)) AS k FROM a WHERE json_type(a) = 'OBJECT'))
+    SELECT episode_id, i::int AS position, j::int AS call, k AS argument, CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, CASE WHEN t NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN v END AS value FROM g""",
+    "p5_labels": _NESTED + " SELECT report_id, name AS label, max(try_cast(v->>'step_agreement' AS double)) AS step_agreement, bool_or(coalesce(json_type(v->'step_agreement_by_episode') <> 'NULL', false)) AS has_interval FROM lb GROUP BY 1, 2",
+    "p5_rates": _NESTED + " SELECT report_id, n::int AS comparison, name AS rate, " + ", ".join(f"any_value(try_cast(v->>'{f}' AS double)) AS {f}" for f in nested.RATE_FIELDS) + " FROM rn GROUP BY 1, 2, 3",
 }
