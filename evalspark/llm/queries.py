@@ -93,7 +93,27 @@ _SPLITS = f"""
                     LEFT JOIN (SELECT {_NUMBER.format("task_id")} AS t, count(*) AS n FROM episodes GROUP BY 1) p ON p.t = k.task_no
                     LEFT JOIN (SELECT {_NUMBER.format("split_part(step_id, ':', 1)")} AS t, count(*) AS n FROM eval_steps GROUP BY 1) s ON s.t = k.task_no GROUP BY 1))) y ON x.group_no = y.group_no"""
 
+# Prompts as words: markers cut, system turns left out; every occurrence of a word is counted, and of the pairs that share
+# three quarters of the longer one's words the longest common subsequence decides.
+_TURNED = "regexp_replace(prompt, '(?m)^[ \\t]*\\[(system|assistant|user|tool)\\][ \\t]*$', '<|im_start|>\\1' || chr(10), 'g')"
+_SPOKEN = f"array_to_string(list_transform(list_filter(list_transform(string_split({_TURNED}, '<|im_start|>'), lambda x, i: {{'i': i, 'x': x}}), lambda t: t.i = 1 OR NOT regexp_matches(t.x, '^[ \\t]*(?i:system)\\b')), lambda t: CASE WHEN t.i = 1 THEN t.x ELSE regexp_replace(t.x, '^[ \\t]*\\w*[ \\t]*\\n?', '') END), ' ')"
+_PAIRS = f"""
+        WITH w AS (
+            SELECT 'e' AS side, eval_id AS id, regexp_extract_all(lower(replace({_SPOKEN}, '<|im_end|>', ' ')), '[\\p{{L}}\\p{{N}}]+') AS w FROM eval_steps WHERE prompt IS NOT NULL
+            UNION ALL SELECT 't', state_id, regexp_extract_all(lower(replace({_SPOKEN}, '<|im_end|>', ' ')), '[\\p{{L}}\\p{{N}}]+') FROM train_states WHERE prompt IS NOT NULL
+        ), n AS (SELECT side, id, w, len(w) AS n FROM w WHERE len(w) > 0),
+        o AS (SELECT side, id, n, x, row_number() OVER (PARTITION BY side, id, x) AS nth FROM (SELECT side, id, n, unnest(w) AS x FROM n)),
+        c AS (SELECT a.id AS e, b.id AS t FROM o a JOIN o b ON a.side = 'e' AND b.side = 't' AND a.x = b.x AND a.nth = b.nth AND a.n >= 0.75 * b.n AND b.n >= 0.75 * a.n GROUP BY 1, 2 HAVING count(*) >= 0.75 * greatest(max(a.n), max(b.n))),
+        p AS (SELECT e, t, x.w AS a, y.w AS b, x.w = y.w AS same FROM c JOIN n x ON x.side = 'e' AND x.id = e JOIN n y ON y.side = 't' AND y.id = t),
+        l AS (SELECT e, t, same, len(a) AS n, len(b) AS m, CASE WHEN same THEN len(a) ELSE list_reduce(a, lambda r, x: list_reduce(range(1, len(b) + 1), lambda s, j: list_append(s, greatest(s[-1], CASE WHEN b[j] = x THEN r[j] + 1 ELSE r[j + 1] END)), [0::bigint]), list_resize([0::bigint], len(b) + 1, 0::bigint))[-1] END AS l FROM p)
+        SELECT e AS eval_id, t AS state_id, same FROM l WHERE l >= 0.75 * greatest(n, m)"""
+
 ORACLES = {
+    "p1_found": f"SELECT eval_id, state_id FROM ({_PAIRS})",
+    "p1_report": f"""
+        WITH k AS (SELECT eval_id, count(*) AS k, max(same::int) AS x FROM ({_PAIRS}) GROUP BY 1),
+        s AS (SELECT eval_id, nullif(regexp_replace(lower(trim(split)), '[\\s-]+', '_', 'g'), '') AS split, nullif(regexp_replace(lower(trim(source)), '[\\s-]+', '_', 'g'), '') AS source FROM eval_steps)
+        SELECT CASE WHEN split IN ('valid', 'val', 'dev') THEN 'validation' ELSE split END AS split, source, count(*) AS n_steps, count(k) AS n_overlapping, coalesce(sum(x), 0)::bigint AS n_exact, coalesce(sum(k), 0)::bigint AS n_pairs FROM s LEFT JOIN k USING (eval_id) GROUP BY 1, 2""",
     "p3_found": _GROUPS,
     "p3_splits": f"SELECT task_no, group_no, split_name FROM ({_SPLITS})",
     "p3_shares": f"""
