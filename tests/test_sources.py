@@ -128,3 +128,24 @@ def test_windows_and_progress(spark):
     done = runlog.progress(log, ["cell"], 1)
     assert {r.cell: r.done for r in done.collect()} == {0: 1, 1: 1, 2: 1}
     assert sorted(r.cell for r in runlog.incomplete_first(done.selectExpr("cell", "case when cell = 0 then 2 else done end as done"), "cell", 2).collect()) == [0, 1]
+
+
+def test_a_log_is_read_by_many_tasks(spark, tmp_path):
+    """A file that is cut into ranges of bytes keeps its line numbers, its bad last line is dropped, one before it is named."""
+    lines = [line(f"t{i}" * (i % 40)) if i % 7 else "" for i in range(900)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + '\n{"task_id": "cut')
+    (tmp_path / "b.jsonl").write_text(line("b") + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = readers.jsonl(spark, str(tmp_path / "*.jsonl"), FIELDS)
+        got = sorted((r.line, r.task_id) for r in df.where("file like '%a.jsonl'").collect())
+        assert got == [(i + 1, f"t{i}" * (i % 40)) for i in range(900) if i % 7] and df.count() == len(got) + 1
+        (tmp_path / "a.jsonl").write_text("\n".join(lines[:700] + ["{bad"] + lines[700:]))
+        with pytest.raises(Exception, match="a.jsonl:701 is no JSON record"):
+            readers.jsonl(spark, str(tmp_path / "*.jsonl"), FIELDS).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert readers.line_counts(spark, str(tmp_path / "b.jsonl"), expected=1).count() == 1
+    with pytest.raises(Exception, match="5 lines"):
+        readers.line_counts(spark, str(tmp_path / "b.jsonl"), expected=5)
