@@ -230,6 +230,9 @@ _SEQ = f"SELECT {_TASK} AS task, rep, list(trim(step_id) ORDER BY step_index, tr
 _LIKE = f"""
         c AS (SELECT DISTINCT name FROM (SELECT unnest({conversations._NAMES}) AS name FROM ({conversations._MESSAGES})) WHERE name IS NOT NULL), w AS (SELECT name, {conversations._WORDS.format("name")} AS words FROM c), n AS (SELECT list_distinct(flatten(list_transform({conversations._NATIVE}, lambda a: {conversations._WORDS.format("a")}))) AS own),
         s AS (SELECT name, row_number() OVER (ORDER BY 3.0::double * len(list_intersect(list_intersect(words, own), {catalogs.OBJECT_WORDS})) + len(list_intersect(list_intersect(words, own), {catalogs.VERB_WORDS})) + least(2.0::double, 0.5::double * len(list_intersect(list_intersect(words, own), {catalogs.OBJECT_WORDS}))) DESC, name) AS r FROM w, n)"""
+# JSON with sorted keys, two levels deep, which is as deep as arguments go; and its strings without blanks around and case.
+_CANON = "CASE WHEN json_type({0}) = 'OBJECT' THEN '{{' || array_to_string(list_transform(list_sort(list_distinct(json_keys({0}))), lambda k: '\"' || k || '\":' || {1}), ',') || '}}' ELSE ({0})::varchar END"
+_PLAIN = r'''regexp_replace(regexp_replace(regexp_replace(lower(s), '"\s+', '"', 'g'), '\s+"', '"', 'g'), '(\d)\.0([,}\]])', '\1\2', 'g')'''
 
 ORACLES = {
     "identity_filter": "WITH f AS (SELECT arg_min(config_fingerprint[:12], delivery_id) AS fp FROM free_log WHERE config_fingerprint IS NOT NULL) SELECT fp AS identity, seed, count(*) AS n, count(*) FILTER (reward = 1.0) AS n_won FROM free_log, f WHERE starts_with(config_fingerprint, fp) AND NOT coalesce(smoke, false) GROUP BY 1, 2",
@@ -271,6 +274,10 @@ ORACLES = {
     "budgets": "SELECT c_custkey, round(CASE WHEN c_nationkey > 4 THEN c_custkey * 10 / 8::double END, 6) AS per_day, c_nationkey * 2 + 2 AS worst FROM customer",
     "token_numbers": "SELECT o_orderkey, (CASE WHEN o_orderkey % 2 = 0 THEN -o_orderkey ELSE o_orderkey END)::int AS number FROM orders",
     "batch_paths": "SELECT batch_file, printf('runs/rep%d-%s-batch%03d.json', max(seed), regexp_replace(batch_file, '\\.jsonl$', ''), count(*)::int) AS path FROM free_log GROUP BY 1",
+    "canonical_arguments": f"""
+        WITH c AS (SELECT episode_id, pos, j - 1 AS i, ({conversations._CALLS})[j].arguments AS t FROM ({conversations._MESSAGES}), unnest(range(1, len({conversations._CALLS}) + 1)) AS u(j)),
+        a AS (SELECT *, try_cast(t AS json) AS a FROM c), k AS (SELECT *, {_CANON.format("a", "{inner}").replace("{inner}", _CANON.format("(a->k)", "(a->k->k2)::varchar").replace("lambda k:", "lambda k2:").replace("|| k ||", "|| k2 ||"))} AS s FROM a)
+        SELECT episode_id, pos, i::int AS i, sha256(s)[:12] AS hash, s = {_PLAIN} AS plain FROM k""",
     "catalog_texts": f"""
         WITH t(name, text) AS (VALUES {", ".join(f"('{n}', '{n}(' || '{', '.join(a + ('' if a in s['required'] else '?') + ': ' + (p['type'] + '[any]' if p['type'] == 'array' else p['type']) for a, p in s['properties'].items())}' || ')')" for n, s in SCHEMAS.items())}),
         u AS (SELECT name, count(*) AS n FROM (SELECT unnest({conversations._NAMES}) AS name FROM ({conversations._MESSAGES})) GROUP BY 1)

@@ -123,6 +123,16 @@ _NESTED = r"""
     rt AS (SELECT report_id, n, CASE WHEN json_type(v->'rates') = 'VARCHAR' THEN try_cast(v->>'rates' AS json) ELSE v->'rates' END AS r FROM cm),
     rn AS (SELECT report_id, n, e.key AS name, e.value AS v FROM rt, json_each(rt.r) AS e WHERE json_type(rt.r) = 'OBJECT' AND json_type(e.value) <> 'NULL' UNION ALL SELECT report_id, n, e.value->>'name', e.value FROM rt, json_each(rt.r) AS e WHERE json_type(rt.r) = 'ARRAY' AND json_type(e.value->'name') = 'VARCHAR')"""
 
+
+
+def _newest(path: str) -> str:
+    """Where the migrations move a path, in SQL."""
+    for _, rule, old, new in schema_drift.MIGRATIONS:
+        if rule == "rename":
+            path = f"regexp_replace({path}, '^{old.replace('.', '[.]')}([.]|$)', '{new}\\1')"
+    return path
+
+
 ORACLES = {
     "p2_found": _DROPPED,
     "p2_by_batch": f"""
@@ -132,6 +142,7 @@ ORACLES = {
     "p4_steps": f"""{_DRIFT},
     y AS (SELECT file_id, substr(sha256(string_agg(p || chr(9) || k, chr(10) ORDER BY p || chr(9) || k)), 1, 16) AS l FROM t GROUP BY 1)
     SELECT b.l AS before, n.l AS layout, change, field_path, partner, count(*) AS n_files FROM s JOIN f USING (file_id) JOIN y b ON b.file_id = f.before JOIN y n ON n.file_id = s.file_id GROUP BY 1, 2, 3, 4, 5""",
+    "p4_unknown_renames": f"{_DRIFT} SELECT partner, field_path, count(*) AS n_files FROM s WHERE change = 'renamed' AND {_newest('partner')} <> {_newest('field_path')} GROUP BY 1, 2",
     "p4_layouts": r"""
     WITH f AS (SELECT file_id, written_at, body FROM (SELECT file_id, written_at, try_cast(body AS json) AS body FROM completion_metas) WHERE json_type(body) = 'OBJECT'),
     t AS (SELECT f.file_id, replace(substr(e.fullkey, 3), '"', '') || chr(9) || CASE e.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS p

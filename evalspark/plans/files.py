@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from evalspark.operators import invariants, stats, steps, turns
 from evalspark.plans import conversations
 from evalspark.plans.conversations import CATALOG, NATIVE
 from evalspark.plans.tables import table
-from evalspark.shared import new_path
+from evalspark.shared import new_path, write_text
 from evalspark.sources import readers, sinks
 
 
@@ -83,7 +85,6 @@ def function_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pinned_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog written, read back against its hash and size, and put in order beside what is called."""
     import hashlib
-    import json
 
     path = new_path(spark, "catalog")
     text = json.dumps({"tools": [{"name": n} for n in CATALOG]})
@@ -125,7 +126,30 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(text.splitlines())), "line int, text string")
 
 
-ALL = [log_round_trip, strict_scan, cells_by_file, forced_scan, trajectory_scan, function_scan, pinned_catalog, label_sheet, training_manifest, markdown_report]
+def summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Won runs of each label as a summary in JSON, read back."""
+    path = f"{new_path(spark, 'summary')}.json"
+    rows = table(spark, sf_dir, "free_log").groupBy(stats.run_label(F.col("config_name")).alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("reward") == 1.0).alias("n_won"))
+    sinks.write_summary(rows, path)
+    return spark.read.schema("label string, n bigint, n_won bigint").option("multiLine", True).json(path)
+
+
+def config_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of sources as a configuration, its larger ones doubled by one that extends it."""
+    rows = table(spark, sf_dir, "mix_targets").select("source", "weight", "max_repeats").collect()  # a fixed table of a few rows
+    folder = new_path(spark, "configs")
+    files = {
+        "base.json": {"weights": {r.source: r.weight for r in rows}, "repeats": {r.source: [r.max_repeats] for r in rows}},
+        "doubled.json": {"weights": {r.source: 2 * r.weight for r in rows if r.weight > 5}},
+        "top.json": {"extends": ["base.json", "doubled.json"], "repeats": {r.source: [0] for r in rows if r.max_repeats == 1}},
+    }
+    for name, body in files.items():
+        write_text(spark, f"{folder}/{name}", json.dumps(body))
+    found = readers.config(f"{folder}/top.json", spark=spark)
+    return spark.createDataFrame([(s, float(w), int(found["repeats"][s][0])) for s, w in found["weights"].items()], "source string, weight double, max_repeats int")
+
+
+ALL = [log_round_trip, strict_scan, cells_by_file, forced_scan, trajectory_scan, function_scan, pinned_catalog, label_sheet, training_manifest, markdown_report, summary_file, config_scan]
 QUERIES = {f.__name__: f for f in ALL}
 
 _LABEL = "CASE WHEN len(string_split(config_name, ':')) >= 2 THEN string_split(config_name, ':')[2] ELSE config_name END"
@@ -134,6 +158,8 @@ _FILE = "replace(config_name, ':', '-') || '.jsonl'"
 _NAME = r"'^free-(.+?)(?:-esc([0-9.]+))?-c(\d+)\.jsonl$'"
 
 ORACLES = {
+    "summary_file": f"SELECT {_LABEL} AS label, count(*) AS n, count(*) FILTER (reward = 1.0) AS n_won FROM free_log GROUP BY 1",
+    "config_scan": "SELECT source, CASE WHEN weight > 5 THEN 2 * weight ELSE weight END AS weight, CASE WHEN max_repeats = 1 THEN 0 ELSE max_repeats END AS max_repeats FROM mix_targets",
     "log_round_trip": "SELECT seed, count(*) AS n, count(*) FILTER (reward = 1.0) AS n_won, sum(n_messages)::bigint AS n_messages, count(task_id) AS n_tasks, count(*) AS n_stamped FROM free_log GROUP BY 1",
     "strict_scan": "SELECT rep, count(*) AS n, sum(length(prompt))::bigint AS chars, sum(len(prior_calls))::bigint AS n_decisions FROM train_states GROUP BY 1",
     "cells_by_file": f"""

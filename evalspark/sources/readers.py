@@ -16,6 +16,7 @@ from evalspark.functions.canon import mapped_json
 from evalspark.operators.catalogs import first_wins, plain_schema, sanitized
 from evalspark.operators.invariants import duplicates, require
 from evalspark.operators.stats import cell_of_file
+from evalspark.shared import read_text
 
 CALL = "struct<id:string,name:string,arguments:string>"
 MESSAGE = f"struct<role:string,content:string,tool_calls:array<{CALL}>,error:string,turn_idx:int,raw_data:string,usage:struct<completion_tokens:int>>"
@@ -171,14 +172,18 @@ def merged(base: dict, over: dict) -> dict:
     return base | {k: merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
 
 
-def config(path: str | Path, load=json.loads, _above: tuple = ()) -> dict:
-    """A configuration file with those it `extends` (one or a list, from left to right) below it; a circle is refused."""
-    here = Path(path).resolve()
+def config(path: str | Path, load=json.loads, spark: SparkSession | None = None, _above: tuple = ()) -> dict:
+    """A configuration file with those it `extends` (one or a list, from left to right) below it; a circle is refused.
+
+    Paths in `extends` are relative to the file's folder. With a session the files are on any file system it reads.
+    """
+    here = Path(path).resolve() if spark is None else str(path)
     if here in _above:
         raise ValueError(f"{here} extends itself")
-    own = load(here.read_text())
+    own = load(here.read_text() if spark is None else read_text(spark, here))
     parents = own.pop("extends", [])
     found: dict = {}
     for parent in [parents] if isinstance(parents, str) else parents:
-        found = merged(found, config(here.parent / parent, load, (*_above, here)))
+        beside = here.parent / parent if spark is None else f"{here.rpartition('/')[0]}/{parent}"
+        found = merged(found, config(beside, load, spark, (*_above, here)))
     return merged(found, own)

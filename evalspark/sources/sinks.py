@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.shared import write_text
+
 RESERVED = {"config_fingerprint", "config_name", "task_id", "seed", "ts", "smoke"}
 SHEET_CHARS = 1500
 
@@ -49,11 +50,11 @@ def training_counts() -> list[Column]:
 
 
 def write_summary(rows: DataFrame, path: str, most: int = 10_000) -> None:
-    """A small aggregate as readable JSON; more than `most` rows are refused, not cut."""
+    """A small aggregate as readable JSON, on any file system; more than `most` rows are refused, not cut."""
     found = rows.limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"more than {most} rows are no summary")
-    Path(path).write_text(json.dumps([r.asDict(recursive=True) for r in found], indent=2, default=str, ensure_ascii=False) + "\n")
+    write_text(rows.sparkSession, path, json.dumps([r.asDict(recursive=True) for r in found], indent=2, default=str, ensure_ascii=False) + "\n")
 
 
 def percent(value: float | None, complete: bool = True, done: str = "") -> str:
