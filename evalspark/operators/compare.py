@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.operators.invariants import require
-from evalspark.operators.sampling import permuted
 from evalspark.operators.scoring import BUCKETS, CALL, REPLY
+from evalspark.operators.steps import places
 
 
 def pairing(base: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -54,7 +54,7 @@ def drawn(resample: Column, slot: Column, n: Column) -> Column:
 def paired_bootstrap(sums: DataFrame, episode: list[str], resamples: int = 2000) -> DataFrame:
     """(rate, n_steps, base, new, delta, ci95_low, ci95_high) of per-episode sums.
 
-    Episodes are numbered in hash order of their key; resample r draws episode `drawn(r, slot)` for each slot. All
+    Episodes are numbered in key order, range by range; resample r draws episode `drawn(r, slot)` for each slot. All
     rates of an episode stand in one row, and what a task's draws add up to is summed by resample before it is
     exchanged, so the aggregate has `resamples` rows a task. Resamples without steps are left out; the interval
     ends at the ranks floor(0.025 m) and floor(0.975 m) - 1, from 0. The method is for tables of episodes, whose
@@ -67,7 +67,7 @@ def paired_bootstrap(sums: DataFrame, episode: list[str], resamples: int = 2000)
     at = lambda rate, c: F.sum(F.when(F.col("rate") == rate, c))
     gain = F.col("new_hits") - F.col("base_hits")
     wide = sums.groupBy(*episode).agg(*(f(r, c).alias(f"{n}{i}") for i, r in enumerate(rates) for n, f, c in (("d", at, F.col("den")), ("g", at, gain))))
-    numbered = permuted(wide.withColumn("_key", F.concat_ws(":", *episode)), "_key", name="_at").withColumn("e", F.col("_at") - 1)
+    numbered = places(wide.withColumn("_key", F.struct(*episode)), {"_place": "_key"}).withColumn("e", F.col("_place") - 1)
     n = wide.agg(F.count("*").alias("n"))
     # Slots are dealt to tasks, not resamples: there are enough of either.
     sized = spark.range(0, resamples, 1, max(8, spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "r").join(F.broadcast(n)).where("n > 0")  # n is one row

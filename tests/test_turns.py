@@ -25,8 +25,9 @@ def episodes(spark, *talks):
 def test_decisions_and_prefixes(spark):
     found = [tuple(r) for r in turns.decisions(episodes(spark, TALK)).orderBy("pos").select("pos", "kind", "names", "n_before", "calls_before").collect()]
     assert found == [(2, "reply", [], 2, 0), (4, "tool_call", ["find_a", "get_b"], 4, 0)]
-    assert [r.later for r in turns.later_calls(episodes(spark, TALK)).orderBy("pos").collect()] == [["find_a", "get_b"], []]
-    assert [r.prior for r in turns.prior_calls(episodes(spark, [*TALK, m("assistant", "ok")])).orderBy("pos").collect()] == [[], [], ["find_a", "get_b"]]
+    made = [("find_a", '{"m": 1}'), ("get_b", "{}")]
+    assert [[tuple(c) for c in r.later] for r in turns.later_calls(episodes(spark, TALK)).orderBy("pos").collect()] == [made, []]
+    assert [[tuple(c) for c in r.prior] for r in turns.prior_calls(episodes(spark, [*TALK, m("assistant", "ok")])).orderBy("pos").collect()] == [[], [], made]
 
 
 def test_null_parts(spark):
