@@ -112,3 +112,20 @@ def test_report_counts_without_writing_pairs(spark):
     trains = [(10 + i, chat(text), 0, "") for i in range(4)] + [(20, chat(text + " less"), 0, "")]
     rows = {(r.split, r.source): (r.n_steps, r.n_overlapping, r.n_exact, r.n_pairs) for r in overlap.overlap_report(*frames(spark, evals, trains)).collect()}
     assert rows == {("test", "a"): (2, 1, 1, 5), ("validation", None): (1, 1, 0, 5)}
+
+
+def test_copies_meet_once(spark, monkeypatch):
+    texts = some_texts(6)[:40]
+    evals = [(100 * k + i, chat(t), "test", "a", 0, "") for k in range(6) for i, t in enumerate(texts[::2])]
+    trains = [(10_000 + 100 * k + i, chat(t.upper()), 0, "") for k in range(7) for i, t in enumerate(texts)]
+    met, near_pairs = [], overlap.near_pairs
+
+    def counting(left, right):
+        met.extend((side.count(), side.select("c1", "c2").distinct().count()) for side in (left, right))
+        return near_pairs(left, right)
+
+    monkeypatch.setattr(overlap, "near_pairs", counting)
+    left, right = frames(spark, evals, trains)
+    found = [tuple(x) for x in overlap.overlaps(left.repartition(5), right.repartition(6)).collect()]
+    assert sorted(found) == sorted(brute(evals, trains)) and len(found) >= 6 * 7 * 20
+    assert len(met) == 2 and all(rows == classes for rows, classes in met)
